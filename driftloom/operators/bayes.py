@@ -137,9 +137,13 @@ def predict(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_R
 
 
 def whole_stream(instances: DataFrame, specs: DataFrame) -> DataFrame:
-    """One segment per (stream, seed, model) for models that never change."""
+    """One segment per (stream, seed, model) for models that never change.
+
+    `specs` carries model, lam, alpha, and stream where a setting differs by stream.
+    """
     extent = instances.groupBy(*STREAM).agg(F.max("idx").alias("hi"))
-    return extent.join(specs, "stream" if "stream" in specs.columns else None, "inner").select(
+    cells = extent.join(specs, "stream") if "stream" in specs.columns else extent.crossJoin(specs)
+    return cells.select(
         *STREAM, "model", F.lit(0).cast("long").alias("b"), F.col("lam").cast("double"),
         F.col("alpha").cast("double"), F.lit(0).cast("long").alias("lo"), "hi")
 
