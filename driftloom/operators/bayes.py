@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.operators.prefix import BLOCK_ROWS, block_of, running
+from driftloom.operators.prefix import BLOCK_ROWS, block_of, blocks_between, running
 from driftloom.session import cut
 
 STREAM = ["stream", "seed"]
@@ -148,22 +148,16 @@ def whole_stream(instances: DataFrame, specs: DataFrame) -> DataFrame:
         F.col("alpha").cast("double"), F.lit(0).cast("long").alias("lo"), "hi")
 
 
-def _blocks_of(table: DataFrame, first: str, last: str, block_rows: int) -> DataFrame:
-    """One row per block that the range first..last touches: an equi-join key for ranges."""
-    return table.withColumn("blk", F.explode(F.sequence(
-        block_of(F.col(first), block_rows), block_of(F.col(last), block_rows))))
-
-
 def _trained(instances: DataFrame, starts: DataFrame, block_rows: int) -> DataFrame:
     """Rows joined to every training start that covers them."""
     rows = instances.withColumn("blk", block_of(F.col("idx"), block_rows))
-    return rows.join(_blocks_of(starts, "b", "end", block_rows), [*STREAM, "blk"]).where(
+    return rows.join(blocks_between(starts, "b", "end", block_rows), [*STREAM, "blk"]).where(
         "idx between b and end")
 
 
 def _document_terms(instances, segments, starts, block_rows) -> DataFrame:
     """Per (segment, row): score terms, known tokens, new words and the normaliser gain."""
-    spans = _blocks_of(segments, "lo", "hi", block_rows)
+    spans = blocks_between(segments, "lo", "hi", block_rows)
     state = word_state(instances, starts, block_rows)
     hits = state.join(spans, [*STREAM, "b", "blk"]).where("idx between lo and hi")
 

@@ -23,6 +23,16 @@ def block_of(idx: Column, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(idx / F.lit(block_rows)).cast("long")
 
 
+def blocks_between(table: DataFrame, first: str, last: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block that the range first..last touches.
+
+    Turns a range join into an equi-join on (stream, block) plus a filter, so no side has to be
+    broadcast and no stream is a hot key.
+    """
+    return table.withColumn("blk", F.explode(F.sequence(
+        block_of(F.col(first), block_rows), block_of(F.col(last), block_rows))))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
