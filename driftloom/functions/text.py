@@ -5,7 +5,7 @@ from __future__ import annotations
 import html.entities
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # These patterns define the token stream and must not change.
@@ -114,34 +114,33 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(clean(text), F.lit(TOKEN), F.lit(0))
 
 
-def with_token_bag(df: DataFrame, tokens_col: str, out: str = "bag") -> DataFrame:
-    """Add array<struct<word, k>>: distinct tokens of the row with their counts.
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once.
 
-    Counting is a run-length pass over the sorted array, so it needs no shuffle. Each step is
-    its own column: inside a higher-order function a repeated expression would be evaluated
-    once per element.
+    The optimizer may inline a column into its users; inside a higher-order function that
+    would compute it again for every element. A lambda variable cannot be inlined.
     """
-    staged = df.withColumn("_sorted", F.array_sort(tokens_col)).withColumn(
-        "_starts",
-        F.when(
-            F.size("_sorted") > 0,
-            F.filter(
-                F.sequence(F.lit(0), F.size("_sorted") - 1),
-                lambda pos: (pos == 0) | (F.get("_sorted", pos) != F.get("_sorted", pos - 1)),
-            ),
-        ).otherwise(F.array().cast("array<int>")),
-    )
-    return staged.withColumn(
-        out,
-        F.transform(
-            "_starts",
-            lambda pos, j: F.struct(
-                F.get("_sorted", pos).alias("word"),
-                (F.coalesce(F.get("_starts", j + 1), F.size("_sorted")) - pos)
-                .cast("long").alias("k"),
-            ),
-        ),
-    ).drop("_sorted", "_starts")
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def token_bag(tokens_col: Column) -> Column:
+    """array<struct<word, k>>: distinct tokens of a row with their counts.
+
+    Counting is a run-length pass over the sorted tokens, so it needs no shuffle.
+    """
+
+    def starts(words: Column) -> Column:
+        return F.filter(
+            F.transform(words, lambda _, i: i),
+            lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def runs(words: Column, first: Column) -> Column:
+        return F.transform(first, lambda i, j: F.struct(
+            F.get(words, i).alias("word"),
+            (F.coalesce(F.get(first, j + 1), F.size(words)) - i).cast("long").alias("k")))
+
+    return _let(F.sort_array(tokens_col),
+                lambda words: _let(starts(words), lambda first: runs(words, first)))
 
 
 def mentions_topic(tokens_col: Column, keywords: list[str]) -> Column:

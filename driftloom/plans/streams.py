@@ -80,8 +80,8 @@ def instances(stream: DataFrame, name: str, seed: int = 0, unit: str = "hour") -
     Tokens are made here and nowhere later; every model and detector reads this table.
     """
     rows = stream if "tokens" in stream.columns else stream.withColumn("tokens", text.tokens(F.col("text")))
-    bags = text.with_token_bag(rows, "tokens")
-    return cut(bags.select(
+    return cut(rows.select(
         F.lit(name).alias("stream"), F.lit(seed).alias("seed"), "idx",
         clock.model_time(F.col("ts"), F.col("idx"), unit).alias("t"),
-        F.col("label").cast("int").alias("label"), "bag"), "instances")
+        F.col("label").cast("int").alias("label"),
+        text.token_bag(F.col("tokens")).alias("bag")), "instances")
