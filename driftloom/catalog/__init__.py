@@ -1,6 +1,6 @@
 """All registered queries; each module adds its own."""
 
-from driftloom.catalog import text_queries  # noqa: F401
+from driftloom.catalog import model_queries, text_queries  # noqa: F401
 from driftloom.catalog.base import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -67,16 +67,8 @@ def score(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROW
     Returns stream, seed, seg, idx, label, t, lam, n0, n1, vocab, entries, s0, s1, pred, where
     s0 and s1 are ln N_c - lam (t - T_c) + sum of k (ln(aged count + alpha) - ln(normaliser)).
     """
-    merged = (
-        segments.groupBy(*STREAM, "b", "lam", "alpha", "lo").agg(F.max("hi").alias("hi"))
-        .withColumn("seg", segment_id())
-    )
-    starts = (
-        merged.groupBy(*STREAM, "b")
-        .agg(F.max("hi").alias("end"), F.array_sort(F.collect_set("lo")).alias("los"))
-        .withColumn("los", F.filter("los", lambda lo: lo > F.col("b")))
-    )
-    docs = cut(_document_terms(instances, merged, starts, block_rows), "terms")
+    merged, starts = _shared(segments)
+    docs = cut(document_terms(instances, segments, block_rows), "terms")
     origin = docs.groupBy(*STREAM, "seg").agg(F.min("t").alias("origin"))
     base = _inherited(instances, merged, starts, origin, block_rows)
 
@@ -155,8 +147,26 @@ def _trained(instances: DataFrame, starts: DataFrame, block_rows: int) -> DataFr
         "idx between b and end")
 
 
-def _document_terms(instances, segments, starts, block_rows) -> DataFrame:
+def _shared(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments without the model (equal ones once), and the training starts they need.
+
+    A start carries `end`, its last row, and `los`, the later first rows of its segments.
+    """
+    merged = (
+        segments.groupBy(*STREAM, "b", "lam", "alpha", "lo").agg(F.max("hi").alias("hi"))
+        .withColumn("seg", segment_id())
+    )
+    starts = (
+        merged.groupBy(*STREAM, "b")
+        .agg(F.max("hi").alias("end"), F.array_sort(F.collect_set("lo")).alias("los"))
+        .withColumn("los", F.filter("los", lambda lo: lo > F.col("b")))
+    )
+    return merged, starts
+
+
+def document_terms(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per (segment, row): score terms, known tokens, new words and the normaliser gain."""
+    segments, starts = _shared(segments)
     spans = blocks_between(segments, "lo", "hi", block_rows)
     state = word_state(instances, starts, block_rows)
     hits = state.join(spans, [*STREAM, "b", "blk"]).where("idx between lo and hi")
