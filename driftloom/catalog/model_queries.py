@@ -311,19 +311,18 @@ def _(spark, d):
 
 
 @query("spc_resolution", """
-SELECT stream, model, lam, alpha, w, c, detect_alpha, confirm_window FROM (VALUES
-  ('ds1', 'fading', 0.2, 1.0, 24000, 0.1, 1.8, 24000), ('ds1', 'sifr', 0.0, 1.0, 24000, 0.4, 1.8, 24000),
-  ('ds2', 'fading', 0.3, 1.0, 22000, 0.1, 1.8, 22000), ('ds2', 'sifr', 0.0, 1.0, 22000, 0.2, 1.8, 22000),
-  ('s_events', 'fading', 0.2, 1.0, 4000, 0.1, 1.8, 4000), ('s_events', 'sifr', 0.0, 1.0, 4000, 0.4, 1.8, 4000))
-  AS v(stream, model, lam, alpha, w, c, detect_alpha, confirm_window)
-WHERE (SELECT count(*) FROM events) > 0""")
+SELECT s.stream, v.model, CAST(CASE WHEN v.model = 'sifr' THEN 0 WHEN s.stream = 'click' THEN 0.3 ELSE 0.2 END AS DOUBLE) AS lam,
+  CASE WHEN s.stream = 'ds1' THEN 24000 ELSE 4000 END AS w, CAST(CASE WHEN v.model = 'fading' THEN 0.1 WHEN s.stream = 'click' THEN 0.2 ELSE 0.4 END AS DOUBLE) AS c,
+  CAST(1.8 AS DOUBLE) AS detect_alpha, 4000 AS confirm_window
+FROM (SELECT DISTINCT event_type AS stream FROM events) s, (VALUES ('fading'), ('sifr')) AS v(model)""")
 def _(spark, d):
-    names = {"fading": {"model": "fading", "lam": 0.2}, "sifr": {"model": "informed", "strategy": "SlowIncreaseFastReset", "c": 0.4}}
-    overrides = {"ds2": {"fading": {"lam": 0.3}, "sifr": {"c": 0.2}}}
-    out = None
-    for stream in ("ds1", "ds2", "s_events"):
-        part = specs.spec_table(spark, names, {"w": specs.preset_window(stream)}, overrides.get(stream)).withColumn("stream", F.lit(stream))
-        out = part if out is None else out.unionByName(part)
-    present = streams.table(spark, d, "events").limit(1).select(F.lit(True).alias("_any"))
-    return out.crossJoin(present).select(
-        "stream", "model", "lam", "alpha", "w", "c", "detect_alpha", "confirm_window")
+    names = {"fading": {"model": "fading", "lam": 0.2},
+             "sifr": {"model": "informed", "strategy": "SlowIncreaseFastReset", "c": 0.4, "lam_max": None}}
+    overrides = {"click": {"fading": {"lam": 0.3}, "sifr": {"c": 0.2}}}
+    # Streams are the event types: a control table, one spec row per (stream, model).
+    found = streams.table(spark, d, "events").select(F.col("event_type").alias("stream"), F.lit(0).alias("seed")).distinct()
+    table = specs.spec_table(spark, names, {"w": specs.preset_window("other")})
+    special = specs.spec_table(spark, names, {"w": specs.preset_window("other")}, overrides["click"])
+    both = table.crossJoin(found.where("stream <> 'click'").select("stream")).unionByName(
+        special.withColumn("stream", F.lit("click")))
+    return specs.per_cell(both, found).select("stream", "model", "lam", "w", "c", "detect_alpha", "confirm_window")
