@@ -18,15 +18,18 @@ def ordered_fold(
     """Run one step function per key over its rows in order.
 
     `start()` makes a fresh step function for a key; it is called with consecutive batches of
-    the key's rows and keeps its state in between. Rows arrive by a shuffle on the keys and a
-    spillable sort, batch by batch, so a long key is never held in memory as a whole. Use it
-    for pre-aggregated rows (one per detector check, or per packed run of errors).
+    the key's rows and keeps its state in between. A step with a `finish` attribute is asked
+    for last rows at the end of the key. Rows arrive by a shuffle on the keys and a spillable
+    sort, batch by batch, so a long key is never held in memory as a whole. Use it for
+    pre-aggregated rows (one per detector check, or per packed run of errors).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = start()
         for batch in batches:
             yield step(batch)
+        if hasattr(step, "finish"):
+            yield step.finish()
 
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return ordered.groupBy(*keys).applyInPandas(run, schema)

@@ -106,27 +106,22 @@ def fast_set(strategy_trace: DataFrame, acted: DataFrame, lam_max: float, period
     between are remembered and take over afterwards. Returns (cell, from_idx, to_idx, lam),
     rows from_idx < idx <= to_idx.
     """
-    cell = Window.partitionBy(*CELL)
-    raised = acted.where("detector = 'adwin' and acted").select(
-        *CELL, F.col("idx").alias("at"), (F.col("idx") + period).alias("until"))
-    bounds = (
-        strategy_trace.select(*CELL, "idx")
-        .unionByName(raised.select(*CELL, F.col("at").alias("idx")))
-        .unionByName(raised.select(*CELL, F.col("until").alias("idx")))
-        .distinct()
+    raised = acted.where("detector = 'adwin' and acted")
+    none, zero = F.lit(None).cast("double"), F.lit(0)
+    marks = (
+        strategy_trace.select(*CELL, "idx", F.col("lam").cast("double").alias("lam"), zero.alias("step"))
+        .unionByName(raised.select(*CELL, "idx", none.alias("lam"), F.lit(1).alias("step")))
+        .unionByName(raised.select(*CELL, (F.col("idx") + period).alias("idx"), none.alias("lam"), F.lit(-1).alias("step")))
+        .groupBy(*CELL, "idx").agg(F.max("lam").alias("lam"), F.sum("step").alias("step"))
     )
-    held = (
-        bounds.join(strategy_trace.select(*CELL, F.col("idx").alias("_i"), "lam"), CELL)
-        .where("_i <= idx").groupBy(*CELL, "idx").agg(F.max_by("lam", "_i").alias("own"))
-    )
-    forced = bounds.join(raised, CELL).where("at <= idx and idx < until").select(*CELL, "idx").distinct() \
-        .withColumn("_forced", F.lit(True))
-    marked = held.join(forced, [*CELL, "idx"], "left").withColumn(
-        "lam", F.when(F.col("_forced"), F.lit(lam_max)).otherwise(F.col("own")))
-    following = F.lead("idx").over(cell.orderBy("idx"))
+    order = Window.partitionBy(*CELL).orderBy("idx")
+    own = F.last("lam", ignorenulls=True).over(order)
+    active = F.sum("step").over(order) > 0
+    following = F.lead("idx").over(order)
     return (
-        marked.join(extent.select("stream", "seed", "n"), ["stream", "seed"])
+        marks.join(extent.select("stream", "seed", "n"), ["stream", "seed"])
         .select(*CELL, F.col("idx").alias("from_idx"),
-                F.coalesce(following, F.col("n")).alias("to_idx"), "lam", "n")
+                F.least(F.coalesce(following, F.col("n")), F.col("n")).alias("to_idx"),
+                F.when(active, F.lit(lam_max)).otherwise(own).alias("lam"), "n")
         .where("from_idx < n").drop("n")
     )
