@@ -101,37 +101,47 @@ def signals(values: DataFrame, detectors: DataFrame) -> DataFrame:
     )
 
 
-def _signal_step():
-    past: list[deque] = [deque(), deque()]
+class SignalHistory:
+    """Past precisions of both classes and the signal of a new pair."""
 
-    def classify(value: float, history: deque, row) -> str:
-        recent = list(history)[-int(row.detect_history):]
-        if len(recent) < MIN_HISTORY:
-            return NONE
-        deviation, spread = abs(value - fmean(recent)), pstdev(recent)
-        if deviation <= QUIET:
-            return NONE
-        if deviation > row.detect_alpha * spread:
-            return CHANGE
-        return WARNING if deviation > row.detect_beta * spread else NONE
+    def __init__(self, past=((), ())):
+        self.past = [deque(values) for values in past]
 
-    def check(row) -> str:
+    def signal(self, values, alpha: float, beta: float, history: int) -> str:
         found = []
-        for value, history in zip((row.precision_0, row.precision_1), past):
-            if value != value:  # no reference yet: nothing to compare, nothing to remember
+        for value, past in zip(values, self.past):
+            if value is None or value != value:  # no reference yet: nothing to compare
                 continue
-            found.append(classify(value, history, row))
+            found.append(self._compare(value, list(past), alpha, beta))
             if found[-1] == CHANGE:
-                history.clear()
-            history.append(value)
-            while len(history) > row.detect_history:
-                history.popleft()
+                past.clear()
+            past.append(value)
+            while len(past) > history:
+                past.popleft()
         return CHANGE if CHANGE in found else WARNING if WARNING in found else NONE
 
+    @staticmethod
+    def _compare(value: float, past: list, alpha: float, beta: float) -> str:
+        if len(past) < MIN_HISTORY:
+            return NONE
+        deviation, spread = abs(value - fmean(past)), pstdev(past)
+        if deviation <= QUIET:
+            return NONE
+        if deviation > alpha * spread:
+            return CHANGE
+        return WARNING if deviation > beta * spread else NONE
+
+
+def _signal_step():
+    history = SignalHistory()
+
     def step(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.assign(signal=[check(row) for row in batch.itertuples()])
-        return batch[["stream", "seed", "model", "w", "win", "idx",
-                      "precision_0", "precision_1", "signal"]]
+        found = [
+            history.signal((r.precision_0, r.precision_1), r.detect_alpha, r.detect_beta, int(r.detect_history))
+            for r in batch.itertuples()
+        ]
+        return batch.assign(signal=found)[
+            ["stream", "seed", "model", "w", "win", "idx", "precision_0", "precision_1", "signal"]]
 
     return step
 
