@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.catalog import sql
 from driftloom.catalog.base import query
 from driftloom.operators import bayes, strategies, vocabulary
+from driftloom.operators.prefix import running
 from driftloom.plans import informed, specs, streams
 from driftloom.session import cut
 
@@ -108,16 +109,12 @@ def _(spark, d):
     return scored_columns(bayes.predict(inst, segments, EVENT_BLOCK))
 
 
-NORMS_SQL = "SELECT model, idx, round(norm0, 4) AS norm0, round(norm1, 4) AS norm1 FROM doc_state"
-
-
 def _norms(inst, segments):
-    """Normalisers recovered from the scores' parts are covered by the scores; here directly."""
-    from driftloom.operators.prefix import running
-    docs = cut(bayes.document_terms(inst, segments, EVENT_BLOCK), "terms")
+    """The class normalisers themselves, before every row."""
+    docs = cut(bayes.document_terms(inst, *bayes.prepare(inst, segments), EVENT_BLOCK), "terms")
     gain = [F.when(F.col("label") == c, F.col("gain")).otherwise(0.0) for c in (0, 1)]
     return running(docs, ["stream", "seed", "seg"], "idx", "blk", decayed={"norm0": gain[0], "norm1": gain[1]},
-                   age=F.col("lam") * (F.col("t") - F.lit(473_352.0)))  # any time before the stream
+                   age=F.expr("lam * (t - origin)"))
 
 
 @query("nb_normaliser", sql.with_(sql.events_rows(), sql.whole_segments(("slow", 0.05, 1.0), ("quick", 2.0, 1.0)),

@@ -64,58 +64,45 @@ def word_state(instances: DataFrame, starts: DataFrame, block_rows: int = BLOCK_
 def score(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Score every row of every segment from the state before it.
 
-    Returns stream, seed, seg, idx, label, t, lam, n0, n1, vocab, entries, s0, s1, pred, where
-    s0 and s1 are ln N_c - lam (t - T_c) + sum of k (ln(aged count + alpha) - ln(normaliser)).
+    Returns stream, seed, seg, idx, label, t, lam, n0, n1, vocab, entries, new_entries, s0, s1,
+    pred, where s0 and s1 are ln N_c - lam (t - T_c) + sum of k (ln(aged count + alpha) -
+    ln(normaliser)).
     """
-    merged, starts = _shared(segments)
-    docs = cut(document_terms(instances, segments, block_rows), "terms")
-    origin = docs.groupBy(*STREAM, "seg").agg(F.min("t").alias("origin"))
-    base = _inherited(instances, merged, starts, origin, block_rows)
-
+    prepared = prepare(instances, segments)
+    docs = cut(document_terms(instances, *prepared, block_rows), "terms")
     state = running(
-        docs.join(origin, [*STREAM, "seg"]),
-        [*STREAM, "seg"], "idx", "blk",
+        docs, [*STREAM, "seg"], "idx", "blk",
         sums={
-            "r_n0": F.when(F.col("label") == 0, 1).otherwise(0),
-            "r_n1": F.when(F.col("label") == 1, 1).otherwise(0),
-            "r_vocab": F.col("new_words"),
-            "r_entries": F.col("new_entries"),
-        },
-        maxes={"r_t0": of_class(0, F.col("t")), "r_t1": of_class(1, F.col("t"))},
-        decayed={
-            "r_s0": F.when(F.col("label") == 0, F.col("gain")).otherwise(0.0),
-            "r_s1": F.when(F.col("label") == 1, F.col("gain")).otherwise(0.0),
+            "r_n0": F.expr("if(label = 0, 1, 0)"), "r_n1": F.expr("if(label = 1, 1, 0)"),
+            "r_vocab": F.col("new_words"), "r_entries": F.col("new_entries"),
         },
-        age=F.col("lam") * (F.col("t") - F.col("origin")),
-    ).join(base, [*STREAM, "seg"], "left")
-
-    def plus(name: str) -> Column:
-        return F.col(f"r_{name}") + F.coalesce(f"b_{name}", F.lit(0))
-
-    fade = F.exp(-F.col("lam") * (F.col("t") - F.col("origin")))
-    full = state.select(
-        *STREAM, "seg", "idx", "label", "t", "lam", "alpha", "known", "term0", "term1",
-        *[plus(f"n{c}").alias(f"n{c}") for c in (0, 1)],
-        plus("vocab").alias("vocab"), plus("entries").alias("entries"),
-        "new_entries",
-        *[F.coalesce(f"r_t{c}", f"b_t{c}").alias(f"last{c}") for c in (0, 1)],
-        *[F.greatest(F.col(f"r_s{c}") + F.coalesce(f"b_s{c}", F.lit(0.0)) * fade, F.lit(0.0))
-          .alias(f"norm{c}") for c in (0, 1)],
+        maxes={"r_t0": F.expr("if(label = 0, t, null)"), "r_t1": F.expr("if(label = 1, t, null)")},
+        decayed={"r_s0": F.expr("if(label = 0, gain, 0D)"), "r_s1": F.expr("if(label = 1, gain, 0D)")},
+        age=F.expr("lam * (t - origin)"),
     )
-
-    def class_score(c: int) -> Column:
-        prior = F.ln(f"n{c}") - F.col("lam") * (F.col("t") - F.col(f"last{c}"))
-        normaliser = F.ln(F.col(f"norm{c}") + F.col("alpha") * F.col("vocab"))
-        words = F.when(F.col("known") > 0, F.col(f"term{c}") - F.col("known") * normaliser)
-        return prior + F.coalesce(words, F.lit(0.0))
-
-    scored = full.withColumn("s0", class_score(0)).withColumn("s1", class_score(1))
-    margin = TIE_ABSOLUTE + TIE_RELATIVE * (F.abs("s0") + F.abs("s1"))
-    both = (F.col("n0") > 0) & (F.col("n1") > 0)
-    pred = F.when(both, F.col("s1") - F.col("s0") > margin).otherwise(F.col("n1") > F.col("n0"))
-    return scored.withColumn("pred", pred.cast("int")).select(
-        *STREAM, "seg", "idx", "label", "t", "lam", "n0", "n1", "vocab", "entries",
-        "new_entries", "s0", "s1", "pred")
+    merged, _ = prepared
+    if merged.where("lo > b").limit(1).count():
+        # One row per segment, as a table: the rows of a segment must not meet in one task.
+        state = state.join(cut(_inherited(instances, *prepared, block_rows), "base"), [*STREAM, "seg"], "left")
+    else:
+        state = state.selectExpr("*", *[
+            f"cast(null as {kind}) as b_{name}" for name, kind in (
+                ("n0", "long"), ("n1", "long"), ("t0", "double"), ("t1", "double"), ("s0", "double"),
+                ("s1", "double"), ("vocab", "long"), ("entries", "long"))])
+
+    fade = "exp(-lam * (t - origin))"
+    full = state.selectExpr(
+        *STREAM, "seg", "idx", "label", "t", "lam", "alpha", "known", "term0", "term1", "new_entries",
+        *[f"r_{x} + coalesce(b_{x}, 0) as {x}" for x in ("n0", "n1", "vocab", "entries")],
+        *[f"coalesce(r_t{c}, b_t{c}) as last{c}" for c in (0, 1)],
+        *[f"greatest(r_s{c} + coalesce(b_s{c}, 0D) * {fade}, 0D) as norm{c}" for c in (0, 1)])
+    scored = full.selectExpr("*", *[
+        f"ln(n{c}) - lam * (t - last{c}) + "
+        f"if(known > 0, term{c} - known * ln(norm{c} + alpha * vocab), 0D) as s{c}" for c in (0, 1)])
+    margin = f"{TIE_ABSOLUTE}D + {TIE_RELATIVE}D * (abs(s0) + abs(s1))"
+    return scored.selectExpr(
+        *STREAM, "seg", "idx", "label", "t", "lam", "n0", "n1", "vocab", "entries", "new_entries",
+        "s0", "s1", f"cast(if(n0 > 0 and n1 > 0, s1 - s0 > {margin}, n1 > n0) as int) as pred")
 
 
 def predict(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -147,61 +134,48 @@ def _trained(instances: DataFrame, starts: DataFrame, block_rows: int) -> DataFr
         "idx between b and end")
 
 
-def _shared(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments without the model (equal ones once), and the training starts they need.
+def prepare(instances: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two control tables: segments without the model (equal ones once), and training starts.
 
-    A start carries `end`, its last row, and `los`, the later first rows of its segments.
+    A segment gets `origin`, the time of its first row, as zero of its age axis. A start
+    carries `end`, its last row, and `los`, the later first rows of its segments.
     """
-    merged = (
+    first = instances.select(*STREAM, F.col("idx").alias("lo"), F.col("t").alias("origin"))
+    merged = cut(
         segments.groupBy(*STREAM, "b", "lam", "alpha", "lo").agg(F.max("hi").alias("hi"))
-        .withColumn("seg", segment_id())
-    )
-    starts = (
+        .withColumn("seg", segment_id()).join(first, [*STREAM, "lo"]), "segments")
+    starts = cut(
         merged.groupBy(*STREAM, "b")
         .agg(F.max("hi").alias("end"), F.array_sort(F.collect_set("lo")).alias("los"))
-        .withColumn("los", F.filter("los", lambda lo: lo > F.col("b")))
-    )
+        .withColumn("los", F.filter("los", lambda lo: lo > F.col("b"))), "starts")
     return merged, starts
 
 
-def document_terms(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def document_terms(instances, merged, starts, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per (segment, row): score terms, known tokens, new words and the normaliser gain."""
-    segments, starts = _shared(segments)
-    spans = blocks_between(segments, "lo", "hi", block_rows)
-    state = word_state(instances, starts, block_rows)
-    hits = state.join(spans, [*STREAM, "b", "blk"]).where("idx between lo and hi")
-
-    def aged(c: int) -> Column:
-        return F.coalesce(
-            F.col(f"m{c}") * F.exp(-F.col("lam") * (F.col("t") - F.col(f"u{c}"))), F.lit(0.0))
-
-    known = F.col("m0") + F.col("m1") > 0
-    own_count = F.when(F.col("label") == 0, F.col("m0")).otherwise(F.col("m1"))
-    own_aged = F.when(F.col("label") == 0, aged(0)).otherwise(aged(1))
-    key = [*STREAM, "seg", "lam", "alpha", "blk", "idx", "t", "label"]
-    words = hits.select(
+    spans = blocks_between(merged, "lo", "hi", block_rows)
+    hits = word_state(instances, starts, block_rows).join(spans, [*STREAM, "b", "blk"]).where(
+        "idx between lo and hi")
+    key = [*STREAM, "seg", "lam", "alpha", "origin", "blk", "idx", "t", "label"]
+    staged = hits.selectExpr(
+        *key, "k", "m0 + m1 > 0 as is_known", "if(label = 0, m0, m1) as own",
+        *[f"coalesce(m{c} * exp(-lam * (t - u{c})), 0D) as aged{c}" for c in (0, 1)])
+    words = staged.selectExpr(
         *key,
-        *[F.when(known, F.col("k") * F.ln(aged(c) + F.col("alpha"))).otherwise(0.0)
-          .alias(f"term{c}") for c in (0, 1)],
-        F.when(known, F.col("k")).otherwise(0).alias("known"),
-        F.when(known, 0).otherwise(1).alias("new_words"),
-        F.when(own_count == 0, 1).otherwise(0).alias("new_entries"),
-        (own_count + F.col("k") - own_aged).alias("gain"),
-    )
+        *[f"if(is_known, k * ln(aged{c} + alpha), 0D) as term{c}" for c in (0, 1)],
+        "if(is_known, k, 0L) as known", "if(is_known, 0, 1) as new_words",
+        "if(own = 0, 1, 0) as new_entries", "own + k - if(label = 0, aged0, aged1) as gain")
     # Rows without tokens must stay, so every row adds an empty contribution of its own.
     rows = instances.select(*STREAM, "idx", "t", "label").withColumn(
         "blk", block_of(F.col("idx"), block_rows))
-    empty = rows.join(spans, [*STREAM, "blk"]).where("idx between lo and hi").select(
-        *key,
-        F.lit(0.0).alias("term0"), F.lit(0.0).alias("term1"), F.lit(0).alias("known"),
-        F.lit(0).alias("new_words"), F.lit(0).alias("new_entries"), F.lit(0.0).alias("gain"),
-    )
+    empty = rows.join(spans, [*STREAM, "blk"]).where("idx between lo and hi").selectExpr(
+        *key, "0D as term0", "0D as term1", "0L as known", "0 as new_words", "0 as new_entries", "0D as gain")
     return words.unionByName(empty).groupBy(*key).agg(
         *[F.sum(c).alias(c) for c in
           ("term0", "term1", "known", "new_words", "new_entries", "gain")])
 
 
-def _inherited(instances, segments, starts, origin, block_rows) -> DataFrame:
+def _inherited(instances, merged, starts, block_rows) -> DataFrame:
     """State that a segment starts from: everything learned on rows b..lo-1.
 
     Each training start has a few cut points (the first rows of its segments). Words are
@@ -237,7 +211,7 @@ def _inherited(instances, segments, starts, origin, block_rows) -> DataFrame:
         *by_class, F.first("los").alias("los"))
     live_docs = accumulate(docs, [*STREAM, "b"])
 
-    targets = segments.where("lo > b").join(origin, [*STREAM, "seg"])
+    targets = merged.where("lo > b")
     keys = [*STREAM, "b", "lo"]
 
     def aged(c: int) -> Column:
