@@ -126,16 +126,17 @@ def enhanced_run(spark, d, **models):
 
 @query("nb_enhanced")
 def _(spark, d):
-    """All fusion modes side by side, with error feedback (iterative, no SQL twin)."""
-    models = {f: {"model": "enhanced", "fusion": f} for f in ("vocab_only", "adwin_only", "or", "and")}
-    models["fastset"] = {"model": "enhanced", "fusion": "or", "adwin_reaction": "fastset"}
-    run = enhanced_run(spark, d, **models)
+    """The fusion modes side by side, with error feedback (iterative, no SQL twin)."""
+    run = enhanced_run(
+        spark, d, adwin_only={"model": "enhanced", "fusion": "adwin_only"},
+        either={"model": "enhanced", "fusion": "or"}, both={"model": "enhanced", "fusion": "and"})
     return run.predictions.select("model", "idx", "label", "pred", "lam")
 
 
 @query("nb_enhanced_events")
 def _(spark, d):
-    run = enhanced_run(spark, d, **{f: {"model": "enhanced", "fusion": f} for f in ("or", "and")})
+    """Event log of the error channel with its fast-set reaction (iterative, no SQL twin)."""
+    run = enhanced_run(spark, d, fastset={"model": "enhanced", "fusion": "adwin_only", "adwin_reaction": "fastset"})
     return run.events.drop("stream", "seed")
 
 

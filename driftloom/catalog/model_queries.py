@@ -49,8 +49,8 @@ def _(spark, d):
 
 WORD_STATE_SQL = """
 SELECT idx, word, k,
-  coalesce(sum(CASE WHEN label = 0 THEN k END) OVER p, 0) AS m0,
-  coalesce(sum(CASE WHEN label = 1 THEN k END) OVER p, 0) AS m1,
+  CAST(coalesce(sum(CASE WHEN label = 0 THEN k END) OVER p, 0) AS BIGINT) AS m0,
+  CAST(coalesce(sum(CASE WHEN label = 1 THEN k END) OVER p, 0) AS BIGINT) AS m1,
   round(max(CASE WHEN label = 0 THEN t END) OVER p, 6) AS u0, round(max(CASE WHEN label = 1 THEN t END) OVER p, 6) AS u1
 FROM words JOIN rows USING (idx)
 WINDOW p AS (PARTITION BY word ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
@@ -73,12 +73,12 @@ def scored_columns(scored, digits=SCORE_DIGITS):
         F.when(both, F.round("s0", digits)).alias("s0"), F.when(both, F.round("s1", digits)).alias("s1"))
 
 
-SCORED_COLUMNS = (f"SELECT model, idx, label, pred, vocab, entries, round(s0, {SCORE_DIGITS}) AS s0, "
+SCORED_COLUMNS = (f"SELECT model, idx, label, pred, CAST(vocab AS BIGINT) AS vocab, CAST(entries AS BIGINT) AS entries, round(s0, {SCORE_DIGITS}) AS s0, "
                   f"round(s1, {SCORE_DIGITS}) AS s1 FROM scored")
 
 
 @query("nb_vocabulary_size", sql.with_(sql.events_rows(), sql.whole_segments(("m", 0.0, 1.0)), sql.SCORED)
-       + "SELECT idx, vocab, entries FROM scored")
+       + "SELECT idx, CAST(vocab AS BIGINT) AS vocab, CAST(entries AS BIGINT) AS entries FROM scored")
 def _(spark, d):
     inst = event_instances(spark, d)
     scored = bayes.score(inst, fixed_models(spark, inst, ("m", 0.0, 1.0)), EVENT_BLOCK)

@@ -26,7 +26,7 @@ from driftloom.plans.informed import extent_of
 from driftloom.session import cut
 
 CELL = ["stream", "seed", "model"]
-LOOK_WINDOWS = 2
+LOOK_WINDOWS = 4
 OUTCOME_SCHEMA = (
     "stream string, seed int, model string, what string, idx long, detector string, kind string, "
     "acted boolean, rebuild_size long, width long, error_rate double, lam double, b long, "
@@ -65,9 +65,9 @@ def run(instances: DataFrame, specs: DataFrame, block_rows: int = BLOCK_ROWS) ->
         if not open_cells.limit(1).count():
             break
         rounds += 1
-        spans = cut(open_cells.select(
+        spans = open_cells.select(
             *CELL, "b", "lam", "alpha", F.col("next_row").alias("lo"),
-            (F.least(F.col("next_row") + F.col("look"), F.col("n")) - 1).alias("hi")), "segments")
+            (F.least(F.col("next_row") + F.col("look"), F.col("n")) - 1).alias("hi"))
         predictions = cut(bayes.predict(instances, spans, block_rows), "tentative")
         outcome = cut(_react(predictions, checks, open_cells, spans), "outcome")
         outcomes.append(outcome)
