@@ -97,27 +97,39 @@ def detections(events: DataFrame) -> DataFrame:
 
 
 def detection_delays(found: DataFrame, drifts: DataFrame, tolerance: Column, cells: DataFrame) -> DataFrame:
-    """Per (cell, view, drift): rows from the drift to the first detection in [p, e + T)."""
+    """Per (cell, view, drift): rows from the drift to the first detection in [p, e + T).
+
+    One ordered pass over drifts and detections: the first detection at or after p counts if
+    it comes before the end.
+    """
     views = F.explode(F.array(*[F.lit(v) for v in DETECTORS]))
-    wanted = cells.join(drifts, STREAM).withColumn("view", views).withColumn("_end", F.col("e") + tolerance)
-    hits = found.select(*CELL, "view", F.col("idx").alias("_at"))
-    inside = (F.col("_at") >= F.col("p")) & (F.col("_at") < F.col("_end"))
-    first = (
-        wanted.join(hits, [*CELL, "view"]).where(inside)
-        .groupBy(*CELL, "view", "p").agg(F.min("_at").alias("_first"))
+    wanted = cells.join(drifts, STREAM).withColumn("view", views).select(
+        *CELL, "view", F.col("p").alias("_at"), F.lit(0).alias("_turn"), "e", (F.col("e") + tolerance).alias("_end"))
+    hits = found.select(*CELL, "view", F.col("idx").alias("_at"), F.lit(1).alias("_turn"))
+    after = Window.partitionBy(*CELL, "view").orderBy("_at", "_turn").rowsBetween(1, Window.unboundedFollowing)
+    first = F.min(F.when(F.col("_turn") == 1, F.col("_at"))).over(after)
+    return (
+        wanted.unionByName(hits, allowMissingColumns=True).withColumn("_first", first).where("_turn = 0")
+        .select(*CELL, "view", F.col("_at").alias("p"), "e",
+                F.when(F.col("_first") < F.col("_end"), F.col("_first") - F.col("_at")).alias("delay"))
     )
-    return wanted.select(*CELL, "view", "p", "e").join(first, [*CELL, "view", "p"], "left").select(
-        *CELL, "view", "p", "e", (F.col("_first") - F.col("p")).alias("delay"))
 
 
 def false_alarms(found: DataFrame, drifts: DataFrame, tolerance: Column) -> DataFrame:
-    """Detections inside no acceptance interval."""
+    """Detections inside no acceptance interval.
+
+    A detection is inside one exactly if the latest end among the drifts at or before it is
+    still ahead, which a running maximum tells.
+    """
     spans = drifts.select(
-        *[F.col(k).alias(f"_{k}") for k in STREAM], F.col("p").alias("_p"),
-        (F.col("e") + tolerance).alias("_end"))
-    same = (F.col("stream") == F.col("_stream")) & (F.col("seed") == F.col("_seed"))
-    return found.join(
-        spans, same & (F.col("idx") >= F.col("_p")) & (F.col("idx") < F.col("_end")), "left_anti")
+        *STREAM, F.col("p").alias("_at"), F.lit(0).alias("_turn"), (F.col("e") + tolerance).alias("_end"))
+    marks = found.withColumn("_at", F.col("idx")).withColumn("_turn", F.lit(1))
+    upto = Window.partitionBy(*STREAM).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marks.unionByName(spans, allowMissingColumns=True).withColumn("_open", F.max("_end").over(upto))
+        .where((F.col("_turn") == 1) & ~F.coalesce(F.col("_open") > F.col("idx"), F.lit(False)))
+        .select(*found.columns)
+    )
 
 
 def detection_metrics(events: DataFrame, drifts: DataFrame, tolerance: Column, cells: DataFrame) -> DataFrame:
