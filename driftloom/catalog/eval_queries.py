@@ -291,8 +291,8 @@ def _agg(expressions, digits=6):
 SELECT s.stream, s.seed, m.model FROM (SELECT DISTINCT stream, seed FROM grid) s, (VALUES ('baseline'), ('enhanced'), ('majority'), ('other')) AS m(model)
 WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.stream = s.stream AND g.seed = s.seed AND g.model = m.model AND g.accuracy > 0.5)""")
 def _(spark, d, grid):
-    models = spark.createDataFrame([(m,) for m in (*MODELS, "other")], "model string")
-    return report.missing_cells(grid.where("accuracy > 0.5"), grid.select("stream", "seed").distinct(), models)
+    return report.missing_cells(
+        grid.where("accuracy > 0.5"), grid.select("stream", "seed").distinct(), [*MODELS, "other"])
 
 
 _STATS = {f"{m}_{s}": f"{f}({m})" for m in report.SUMMARY_METRICS for s, f in (("mean", "avg"), ("std", "stddev_samp"))}
@@ -309,16 +309,16 @@ def _(spark, d, grid):
 
 
 @query("rpt_sweep_plan", """
-SELECT s.event_type AS stream, CAST(v.seed AS INTEGER) AS seed, x.setting, x.model, x.fusion, CAST(x.delta AS DOUBLE) AS adwin_delta, CAST(x.alpha AS DOUBLE) AS detect_alpha
-FROM (SELECT DISTINCT event_type FROM events) s, (SELECT DISTINCT user_id % 3 AS seed FROM events) v, (
+SELECT v.event_type AS stream, CAST(v.seed AS INTEGER) AS seed, x.setting, x.model, x.fusion, CAST(x.delta AS DOUBLE) AS adwin_delta, CAST(x.alpha AS DOUBLE) AS detect_alpha
+FROM (SELECT DISTINCT event_type, user_id % 3 AS seed FROM events) v, (
   SELECT 'baseline a=' || a AS setting, 'informed' AS model, NULL AS fusion, NULL AS delta, a AS alpha FROM (VALUES ('1.5'), ('1.8'), ('2.5')) AS t(a)
   UNION ALL SELECT 'adwin_only d=' || d, 'enhanced', 'adwin_only', d, NULL FROM (VALUES ('0.002'), ('0.01'), ('0.05')) AS t(d)
   UNION ALL SELECT f || ' d=' || d || ' a=' || a, 'enhanced', f, d, a FROM (VALUES ('or'), ('and')) AS t1(f), (VALUES ('0.002'), ('0.01'), ('0.05')) AS t2(d),
     (VALUES ('1.5'), ('1.8'), ('2.5')) AS t3(a)) x""")
 def _(spark, d):
-    cells = streams.table(spark, d, "events").select(F.col("event_type").alias("stream")).distinct().crossJoin(
-        streams.table(spark, d, "events").select((F.col("user_id") % 3).cast("int").alias("seed")).distinct())
-    return report.sweep_plan(spark, cells)
+    cells = streams.table(spark, d, "events").select(
+        F.col("event_type").alias("stream"), (F.col("user_id") % 3).cast("int").alias("seed")).distinct()
+    return report.sweep_plan(cells)
 
 
 @grid_query("rpt_sweep_summary", """
@@ -409,8 +409,9 @@ def _(spark, d, grid):
             "stream_ms_per_1k": "avg(recall_macro) * 10", "stream_accuracy": "max(accuracy)"}) + " FROM grid GROUP BY 1")
 def _(spark, d, grid):
     bench = grid.groupBy("model").agg((F.avg("recall_macro") * 10).alias("ms_per_1k"), F.max("accuracy").alias("accuracy"))
-    caps = spark.createDataFrame([(1000, 1000), (5000, 4000)], "batch_cap int, target_rate int")
-    return report.cost_table(grid, bench.crossJoin(caps), 1000, 1000)
+    caps = F.inline(F.array(*[F.struct(F.lit(c).alias("batch_cap"), F.lit(r).alias("target_rate"))
+                              for c, r in ((1000, 1000), (5000, 4000))]))
+    return report.cost_table(grid, bench.select("*", caps), 1000, 1000)
 
 
 @query("rpt_hourly_counts", """

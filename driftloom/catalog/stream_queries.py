@@ -92,7 +92,7 @@ kept AS (
 def _segmented(spark, d):
     e = dense_index(table(spark, d, "events").select("ts", F.col("event_id").alias("id"), "value"), ["ts", "id"])
     e = e.withColumn("label", (F.col("value") > 34.6).cast("int"))
-    change = e.where("value > 200").agg((F.max("idx") + 1).alias("change_idx"))
+    change = e.where("value > 200").agg((F.max("idx") + 1).alias("change_idx")).first()["change_idx"]
     return cut(sampling.with_segment(e, change), "segmented")
 
 
@@ -184,7 +184,7 @@ def _slots(spark, d):
 
 def _built(spark, d):
     n = _length(spark, d)
-    return scenarios.assemble(scenarios.draw(cut(_pools(spark, d), "pools"), cut(_slots(spark, d), "slots")), n)
+    return scenarios.assemble(scenarios.draw(cut(_pools(spark, d), "pools"), cut(_slots(spark, d), "slots"), SEEDS), n)
 
 
 @query("str_topic_pools", sql.with_(POOLS) + "SELECT pool, label, count(*) AS n FROM pools GROUP BY ALL")
@@ -199,14 +199,14 @@ for _scenario in scenarios.SCENARIOS:
 
 @query("str_pool_draw", sql.with_(POOLS, SLOTS, DRAWN) + "SELECT stream, seed, idx, topic, class, id FROM drawn")
 def _(spark, d):
-    return scenarios.draw(cut(_pools(spark, d), "pools"), cut(_slots(spark, d), "slots")).select("stream", "seed", "idx", "topic", "class", "id")
+    return scenarios.draw(cut(_pools(spark, d), "pools"), cut(_slots(spark, d), "slots"), SEEDS).select("stream", "seed", "idx", "topic", "class", "id")
 
 
 @query("str_pool_exhausted", sql.with_(POOLS, SLOTS, DRAWN.replace("FROM pools, (", "FROM (SELECT * FROM pools WHERE id % 10 < 1) AS pools, (")) + """
 SELECT stream, seed, topic, class, count(*) AS missing FROM drawn WHERE id IS NULL GROUP BY ALL""")
 def _(spark, d):
     thin = cut(_pools(spark, d).where("id % 10 < 1"), "pools")  # a pool made too small, to see it reported
-    return scenarios.exhausted(scenarios.draw(thin, cut(_slots(spark, d), "slots")))
+    return scenarios.exhausted(scenarios.draw(thin, cut(_slots(spark, d), "slots"), SEEDS))
 
 
 @query("str_scenarios", sql.with_(POOLS, SLOTS, DRAWN) + """

@@ -130,9 +130,8 @@ SELECT idx, label AS orig_label, CASE WHEN idx >= (SELECT count(*) // 2 FROM ev)
   THEN 1 - label ELSE label END AS label FROM ev_tokens""")
 def _(spark, d):
     rows = streams.events_stream(spark, d)
-    half = rows.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    hit = (F.col("idx") >= F.col("half")) & (F.get("tokens", F.lit(0)) == "click")
-    return rows.crossJoin(F.broadcast(half)).select(  # one row
+    hit = (F.col("idx") >= rows.count() // 2) & (F.get("tokens", F.lit(0)) == "click")
+    return rows.select(
         "idx", F.col("label").cast("int").alias("orig_label"), clock.flip_label(F.col("label"), hit).cast("int").alias("label"))
 
 

@@ -61,17 +61,15 @@ def usable_rows(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.where(F.size(tokens) > 0).join(repeated, "id", "left_anti")
 
 
-def segment_bounds(change: Column) -> list[Column]:
-    """Inner and last bounds of equal segments of rows 0..change-1."""
-    return [F.floor(change * i / SEGMENTS).cast("long") for i in range(1, SEGMENTS + 1)]
+def segment_bounds(change_idx: int) -> list[int]:
+    """Inner and last bounds of equal segments of rows 0..change_idx-1."""
+    return [change_idx * i // SEGMENTS for i in range(1, SEGMENTS + 1)]
 
 
-def with_segment(rows: DataFrame, change: DataFrame) -> DataFrame:
-    """Add change_idx and segment 0..5; the tail from change_idx on is segment 6."""
-    passed = [(F.col("idx") >= b).cast("int") for b in segment_bounds(F.col("change_idx"))]
-    # One row: the change point of this stream.
-    return rows.crossJoin(F.broadcast(change.select("change_idx"))).withColumn(
-        "segment", sum(passed[1:], passed[0]))
+def with_segment(rows: DataFrame, change_idx: int) -> DataFrame:
+    """Add segment 0..5 of equal parts before change_idx; the tail from there on is segment 6."""
+    passed = [(F.col("idx") >= b).cast("int") for b in segment_bounds(change_idx)]
+    return rows.withColumn("segment", sum(passed[1:], passed[0]))
 
 
 def quotas(segmented: DataFrame, targets: dict[int, int]) -> DataFrame:

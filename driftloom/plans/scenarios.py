@@ -61,8 +61,8 @@ def drifts(spark: SparkSession, names, n: int, seeds) -> DataFrame:
 
 def slots(spark: SparkSession, names, n: int, seeds) -> DataFrame:
     """(stream, seed, idx, topic, class): what each position of each stream must hold."""
-    cells = spark.createDataFrame([(s, k) for s in names for k in seeds], "stream string, seed int")
-    grid = spark.range(n).select(F.col("id").alias("idx")).crossJoin(F.broadcast(cells))
+    cells = F.array(*[F.struct(F.lit(s).alias("stream"), F.lit(k).alias("seed")) for s in names for k in seeds])
+    grid = spark.range(n).select(F.col("id").alias("idx"), F.inline(cells))
     half, quarter, width = n // 2, n // 4, int(n * GRADUAL_WIDTH)
     start, end = half - width // 2, half + width // 2
     idx, stream = F.col("idx"), F.col("stream")
@@ -95,16 +95,16 @@ def slots(spark: SparkSession, names, n: int, seeds) -> DataFrame:
     ).select(*STREAM, "idx", "topic", "class")
 
 
-def draw(pools: DataFrame, wanted: DataFrame) -> DataFrame:
+def draw(pools: DataFrame, wanted: DataFrame, seeds) -> DataFrame:
     """Fill each slot with a pool row, without replacement within a stream.
 
     Slots are numbered per (stream, seed, topic, class) in stream order, pool rows per (seed,
     pool, class) in draw order; equal numbers meet in one equi-join. Empty slots stay, with
     NULL ids, so an exhausted pool is visible.
     """
-    seeds = wanted.select("seed").distinct()
     numbered = drawn_ordinal(
-        pools.select("id", "ts", "label", "user", "text", "pool").crossJoin(seeds),
+        pools.select("id", "ts", "label", "user", "text", "pool",
+                     F.explode(F.array(*[F.lit(k) for k in seeds])).alias("seed")),
         ["seed", "pool", "label"], draw_key(F.col("seed"), F.col("id")))
     source = numbered.select(
         "seed", F.col("pool").alias("topic"), F.col("label").cast("int").alias("class"), "ordinal",
@@ -139,7 +139,7 @@ def assemble(drawn: DataFrame, n: int) -> DataFrame:
 def build(corpus: DataFrame, n: int, seeds, names=SCENARIOS, topic_a=TOPIC_A, topic_b=TOPIC_B) -> DataFrame:
     """All scenario streams; the caller checks `exhausted` on the draw before publishing."""
     wanted = slots(corpus.sparkSession, names, n, seeds)
-    return assemble(draw(topic_pools(corpus, topic_a, topic_b), wanted), n)
+    return assemble(draw(topic_pools(corpus, topic_a, topic_b), wanted, seeds), n)
 
 
 def sidecar(name: str, n: int, seed: int, positive_share: float) -> str:

@@ -52,9 +52,7 @@ def events_stream(spark: SparkSession, folder: str, flip: bool = False) -> DataF
         ["ts", "event_id"])
     label = (F.col("value") > VALUE_SPLIT).cast("byte")
     if flip:
-        half = rows.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-        rows = rows.crossJoin(F.broadcast(half))  # one row
-        label = clock.flip_label(label, F.col("idx") >= F.col("half"))
+        label = clock.flip_label(label, F.col("idx") >= rows.count() // 2)
     return rows.select(
         "idx", F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
         label.alias("label"), F.col("user_id").cast("string").alias("user"),
