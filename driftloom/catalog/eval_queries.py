@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from driftloom.catalog import sql
 from driftloom.catalog.base import query
+from driftloom.catalog.text_queries import scratch
 from driftloom.operators.sampling import ordinal_by_index
 from driftloom.plans import evaluate, report, streams
 from driftloom.session import cut
+from driftloom.sources import sinks
 
 CELL = ["stream", "seed", "model"]
 W, TOL, REC = 50, 100, 50
@@ -437,3 +439,25 @@ def _(spark, d):
     out = report.corpus_facts(streams.events_stream(spark, d))
     return out.select("n", "positive", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"),
                       F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"), "tail")
+
+
+@query("snk_results_csv", sql.with_(FIXTURE) + """
+SELECT stream, seed, model, least((idx // 300 + 1) * 300, max(n)) AS end_idx, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy
+FROM preds GROUP BY stream, seed, model, idx // 300""")
+def _(spark, d):
+    """Result tables written as CSV under a partial-run name and read back."""
+    root = scratch(spark, "results")
+    windows = rounded(evaluate.windowed_accuracy(predictions(spark, d), CELL, 300).drop("win"), "accuracy")
+    sinks.save_results({"grid_windows": windows}, root, partial=True)
+    return spark.read.schema(windows.schema).option("header", True).csv(sinks.result_path(root, "grid_windows", True))
+
+
+@query("snk_run_detail", sql.with_(FIXTURE) + "SELECT stream || '-' || model AS run, idx, detector, kind FROM log WHERE seed = 1")
+def _(spark, d):
+    """Events of each run written as JSON, one folder per run, and read back."""
+    root = scratch(spark, "detail")
+    log = log_of(predictions(spark, d)).where("seed = 1").withColumn("run", F.concat_ws("-", "stream", "model"))
+    events = log.select("run", "idx", "detector", "kind")
+    trace = log.select("run", "idx", F.lit(0.0).alias("lam"))
+    sinks.save_run_detail(events, trace, log.select("run", "idx"), root)
+    return spark.read.schema("idx long, detector string, kind string, run string").json(f"{root}/events")
