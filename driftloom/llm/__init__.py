@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, each a module with its query; nothing else in the library imports this package."""
 
-from driftloom.llm import decontaminate, minhash, packing, scoring, substrings, token_files
+from driftloom.llm import decontaminate, minhash, packing, scoring, substrings, token_files, toxicity
 from driftloom.llm.base import ORACLES, QUERIES
 
-__all__ = ["QUERIES", "ORACLES", "decontaminate", "minhash", "packing", "scoring", "substrings", "token_files"]
+__all__ = ["QUERIES", "ORACLES", "decontaminate", "minhash", "packing", "scoring", "substrings", "token_files", "toxicity"]
