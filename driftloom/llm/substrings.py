@@ -75,9 +75,8 @@ def read_blocks(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(blocks, BASE + ", blocks array<long>")
 
 
-def probes(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id and hash of every rolling window that may be a reference block; each hash once for each document of a batch."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # 2 ** BITS bits
+def probes(texts: DataFrame, shared) -> DataFrame:
+    """doc_id and hash of every rolling window that may be a reference block of the shared bit set."""
 
     def probe(batches):
         for batch in tx.parts(batches):
@@ -161,6 +160,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     read = cut(read_blocks(texts), "blocks")
     known = F.col("doc_id").isNotNull()
     bits = bit_set(read.where(known).select(F.explode("blocks").alias("h")), "h", BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 2 ** BITS bits, whatever the corpus
     alike = ["n_words", "s1", "s2"]
     first = (read.where(known & (F.col("n_words") >= WINDOW)).groupBy(*alike).agg(F.min(F.struct("doc_id", "row")).alias("x"))
              .select(*alike, F.col("x.doc_id").alias("first_id"), F.col("x.row").alias("first_row")))
@@ -169,9 +169,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     copied = F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))
     stands = base.where("first_row = row")
     blocks = stands.select("doc_id", F.explode("blocks").alias("h"), F.lit(1).alias("block"))
-    found = probes(texts, bits).join(base.where(copied).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = probes(texts, shared).join(base.where(copied).select("doc_id").distinct(), "doc_id", "left_anti")
     # a hash is an anchor if two documents have it, one of them as a block
     met = cut(blocks.union(found.withColumn("block", F.lit(0)).select("doc_id", "h", "block")), "anchor-hashes")
+    shared.destroy()
     anchors = (met.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("block").alias("block"))
                .where("x < y and block = 1").select("h"))
     by_doc = met.join(anchors, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))

@@ -44,7 +44,7 @@ class Words:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about `limit` bytes of text at most; a longer document is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
