@@ -128,8 +128,11 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield close()
 
 
-def write_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """Rows of kind 0 (a block's texts) and of kind n (its distinct n-grams of a shard, with the counts in learned texts)."""
+def write_blocks(docs: DataFrame, order: int, shards: int, bits=None) -> DataFrame:
+    """Rows of kind 0 (a block's texts) and of kind n (its distinct n-grams of a shard, with the counts in learned texts).
+
+    With `bits` (a broadcast bit set of known n-grams) a block asks for those that pass it only.
+    """
 
     def build(batches):
         from pyspark import TaskContext
@@ -140,6 +143,9 @@ def write_blocks(docs: DataFrame, order: int, shards: int) -> DataFrame:
             weight = block.weight()
             for n, (key, back) in enumerate(block.grams(order), 1):
                 count = np.bincount(back, weights=weight, minlength=len(key)).astype(np.uint32)
+                if bits is not None:
+                    asked = tx.in_bits(bits.value, key)
+                    key, count = key[asked], count[asked]
                 bounds = shard_bounds(key, shards)
                 for s in range(shards):
                     part = slice(bounds[s], bounds[s + 1])
@@ -191,14 +197,19 @@ def totals(answered: DataFrame) -> dict[int, tuple[int, int]]:
     return out
 
 
-def with_answers(written: DataFrame, answered: DataFrame, score: Callable[[Block, dict[int, np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Each block with the whole corpus' counts of its n-grams (by order, in the order of its keys)."""
+def with_answers(written: DataFrame, answered: DataFrame, score: Callable, schema: str, numbers: int = 0) -> DataFrame:
+    """Each block with what the shards said of its n-grams, by order and in the order of its keys: one array of counts, or
+    as many arrays of `numbers`."""
     texts = written.where("kind = 0")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         counts = {}
         for kind, part in right.sort_values(["kind", "shard"]).groupby("kind"):
-            counts[int(kind)] = np.concatenate([unpacked(p, np.int64)[0] for p in part["payload"]])
+            if numbers:
+                lists = [unpacked(p, *[np.float64] * numbers) for p in part["payload"]]
+                counts[int(kind)] = tuple(np.concatenate(x) for x in zip(*lists))
+            else:
+                counts[int(kind)] = np.concatenate([unpacked(p, np.int64)[0] for p in part["payload"]])
         return score(Block.load(left["payload"].iloc[0]), counts)
 
     return texts.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInPandas(run, schema)
