@@ -5,8 +5,8 @@ Two small collections of sketches, each of a few minhashes, are made for every d
 2 * SIDE * ROWS minhashes. Documents that meet in a table are compared on their full sets.
 
 Equal sets are one class before any table is made, so a group of exact copies is one row. In a table, members are first
-compared with the least of their bucket; what is linked then counts as one component, and only members of different
-components of a bucket are compared with each other, until no bucket holds an unseen pair of components. So a large group
+compared with the least of their bucket and then with others, picked by hash for each bucket; what is linked counts as one
+component, and in the end all members of different components of a bucket are compared with each other. So a large group
 of near copies costs one comparison for each member, and no link between components is lost.
 
 A pair at a similarity of 0.85 is missed by all 64 tables with a probability of 0.001 (SIDE 8, ROWS 3), one at 0.9 with
@@ -28,6 +28,8 @@ from driftloom.llm.base import cut, query, table
 from driftloom.llm.components import components
 
 SIDE, ROWS = 8, 3
+#: Rounds in which one member of each bucket, another one each time, is compared before all that are still apart.
+TURNS = 2
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, left array<long>, right array<long>"
 
 
@@ -129,23 +131,31 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     least = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     members = cut(keys.join(least.select("key", "least"), "key"), "members")
     sets = cut(full_sets(docs, members.select("id").distinct(), size), "sets").dropDuplicates(["id"])
-    # first the least of each bucket with all others, then what is still apart
+    # first the least of each bucket with all others, then other members in their turn, then all that is still apart
     pairs = cut(members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    seen, links = None, None
+    seen, links, turn = None, None, 0
     while True:
         found = cut(verified(pairs, sets, percent), "verified")
         links = found if links is None else links.union(found)
         seen = pairs if seen is None else seen.union(pairs)
         joined = cut(components(links), "components")
         placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        apart = placed.join(open_keys, "key", "left_semi").select("key", "id", "component", "n_shingles")
-        one = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        two = apart.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+        lead = F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("order"), "id", "component", "n_shingles"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead.alias("lead")).where("x < y")
+        turn += 1
+        if turn <= TURNS:
+            one = open_keys.select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"), F.col("lead.n_shingles").alias("na"))
+            two = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+        else:
+            apart = placed.join(open_keys.select("key"), "key", "left_semi")
+            one = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
+            two = apart.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        pairs = cut(one.join(two, "key").where(F.col("a") < F.col("b")).where(F.col("ca") != F.col("cb")).where(near)
-                    .select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        met = one.join(two, "key").where(F.col("ca") != F.col("cb")).where(near)
+        met = met.where("a < b") if turn > TURNS else met
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(met.join(seen, ["a", "b"], "left_anti"), "pairs")
+        if turn > TURNS and pairs.isEmpty():
             break
     of_class = classes.select(*alike, "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select(*alike, F.coalesce("component", "id").alias("component"))
