@@ -128,37 +128,44 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield close()
 
 
-def write_blocks(docs: DataFrame, order: int, shards: int, bits=None) -> DataFrame:
-    """Rows of kind 0 (a block's texts) and of kind n (its distinct n-grams of a shard, with the counts in learned texts).
-
-    With `bits` (a broadcast bit set of known n-grams) a block asks for those that pass it only.
-    """
+def write_blocks(docs: DataFrame) -> DataFrame:
+    """block and payload (its texts as numbers, and its words)."""
 
     def build(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 32
         for block in blocks_of(batches):
-            rows = [(at, 0, 0, block.store())]
-            weight = block.weight()
-            for n, (key, back) in enumerate(block.grams(order), 1):
-                count = np.bincount(back, weights=weight, minlength=len(key)).astype(np.uint32)
-                if bits is not None:
-                    asked = tx.in_bits(bits.value, key)
-                    key, count = key[asked], count[asked]
-                bounds = shard_bounds(key, shards)
-                for s in range(shards):
-                    part = slice(bounds[s], bounds[s + 1])
-                    if bounds[s] < bounds[s + 1]:
-                        rows.append((at, n, s, packed(key_bytes(key[part]), count[part])))
-            for i in range(0, len(rows), 64):
-                some = list(zip(*rows[i:i + 64]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some[0], pa.int64()), pa.array(some[1], pa.int32()), pa.array(some[2], pa.int32()), pa.array(some[3], pa.binary())],
-                    names=["block", "kind", "shard", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block.store()], pa.binary())], names=["block", "payload"])
             at += 1
 
-    return docs.mapInArrow(build, STREAM)
+    return docs.mapInArrow(build, "block long, payload binary")
+
+
+def asks(written: DataFrame, order: int, shards: int, bits=None) -> DataFrame:
+    """Each block's distinct n-grams (kind n) of a shard, with their counts in its learned texts.
+
+    With `bits` (a broadcast bit set of known n-grams) a block asks for those that pass it only.
+    """
+
+    def ask(batches):
+        for batch in batches:
+            for at, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                block = Block.load(payload.as_py())
+                weight = block.weight()
+                for n, (key, back) in enumerate(block.grams(order), 1):
+                    count = np.bincount(back, weights=weight, minlength=len(key)).astype(np.uint32)
+                    if bits is not None:
+                        passed = tx.in_bits(bits.value, key)
+                        key, count = key[passed], count[passed]
+                    bounds = shard_bounds(key, shards)
+                    full = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
+                    payloads = [packed(key_bytes(key[bounds[s]:bounds[s + 1]]), count[bounds[s]:bounds[s + 1]]) for s in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at] * len(full), pa.int64()), pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int32()),
+                         pa.array(payloads, pa.binary())], names=["block", "kind", "shard", "payload"])
+
+    return written.mapInArrow(ask, STREAM)
 
 
 def shard_bounds(key: np.ndarray, shards: int) -> np.ndarray:
@@ -200,8 +207,6 @@ def totals(answered: DataFrame) -> dict[int, tuple[int, int]]:
 def with_answers(written: DataFrame, answered: DataFrame, score: Callable, schema: str, numbers: int = 0) -> DataFrame:
     """Each block with what the shards said of its n-grams, by order and in the order of its keys: one array of counts, or
     as many arrays of `numbers`."""
-    texts = written.where("kind = 0")
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         counts = {}
         for kind, part in right.sort_values(["kind", "shard"]).groupby("kind"):
@@ -212,7 +217,7 @@ def with_answers(written: DataFrame, answered: DataFrame, score: Callable, schem
                 counts[int(kind)] = np.concatenate([unpacked(p, np.int64)[0] for p in part["payload"]])
         return score(Block.load(left["payload"].iloc[0]), counts)
 
-    return texts.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInPandas(run, schema)
+    return written.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInPandas(run, schema)
 
 
 def shards_for(docs: DataFrame) -> int:

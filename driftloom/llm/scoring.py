@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm.base import cut, fold, query, table
-from driftloom.llm.blocks import Block, answers, documents, shards_for, totals, with_answers, write_blocks
+from driftloom.llm.blocks import Block, answers, asks, documents, shards_for, totals, with_answers, write_blocks
 
 ORDER, STRENGTH = 2, 100.0
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -45,8 +45,8 @@ def traverse(block: Block, counts: dict[int, np.ndarray], texts: int, total: int
 def score_documents(docs: DataFrame, folds: int, held: int, order: int = ORDER, mu: float = STRENGTH) -> DataFrame:
     """Scores of all documents by a model of those whose fold is not `held`."""
     rows = documents(docs, fold(F.col("doc_id"), folds) != held)
-    written = cut(write_blocks(rows, order, shards_for(docs)), "ngram-blocks")
-    answered = cut(answers(written.where("kind > 0")), "ngram-counts")
+    written = cut(write_blocks(rows), "ngram-blocks")
+    answered = cut(answers(asks(written, order, shards_for(docs))), "ngram-counts")
     n_tokens, n_words = totals(answered).get(1, (0, 0))
     texts = rows.where("learned").count()
 
