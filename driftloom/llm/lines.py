@@ -121,12 +121,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("early").alias("id")).union(pairs.select(F.col("late").alias("id"))).distinct()
         where = classes.select("id", "d", "t", "line").join(ids, "id")
-        texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
-        docs_of = where.select("d", "t").distinct()
-        rows = texts.join(docs_of, texts["d"].eqNullSafe(docs_of["d"]) & (texts["t"] == docs_of["t"]), "left_semi")
-        found = lines_of(rows.select(F.col("d").alias("doc_id"), "text")).dropDuplicates(["d", "t", "line"])
-        at = found["d"].eqNullSafe(where["d"]) & (found["t"] == where["t"]) & (found["line"] == where["line"])
-        return cut(found.join(where, at).select("id", tokens(F.col("words"), levels).alias("tokens")), "line-sets")
+        wanted = where.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("line", "id"))).alias("ids"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("lines"))
+        rows = texts.join(wanted, texts["d"].eqNullSafe(wanted["d"]) & (texts["t"] == wanted["t"])).select("lines", F.explode("ids").alias("line", "id"))
+        found = rows.select("id", tokens(F.split(F.lower(F.get("lines", F.col("line"))), " "), levels).alias("tokens"))
+        return cut(found, "line-sets").dropDuplicates(["id"])
 
     late = later_classes(classes.select("id", "n", "prefix"), sets_of).withColumn("late", F.lit(True))
     status = classes.select(*key, "id").join(late, "id", "left").select(*key, F.col("id").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
