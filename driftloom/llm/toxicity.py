@@ -176,7 +176,7 @@ class Network:
         return g
 
 
-def worst_windows(network: Network, texts: pa.Array, rows: int = 8192) -> np.ndarray:
+def worst_windows(network: Network, texts: pa.Array, rows: int = 4096) -> np.ndarray:
     """Highest logit over the windows of each text."""
     w = tx.split(texts, tx.LETTERS)
     bucket, grams, first, back, _ = word_inputs(w, tx.hashes(w))
@@ -202,12 +202,12 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     w = tx.split(pa.array(texts, pa.string()), tx.LETTERS)
     bucket, grams, first, back, _ = word_inputs(w, tx.hashes(w))
     # start: the first component of a word and of a gram is its weight of evidence by documents
-    doc_of_word = np.repeat(np.arange(len(toxic)), w.counts())
-    for name, bits, values, docs in (("word", WORD_BITS, bucket[back], doc_of_word),
-                                     ("gram", GRAM_BITS, grams[tx.ragged(first[:-1][back], np.diff(first)[back])], np.repeat(doc_of_word, np.diff(first)[back]))):
-        pair = np.unique(docs * (1 << bits) + values)
-        bad = np.bincount(pair % (1 << bits), weights=toxic[pair >> bits], minlength=1 << bits)
-        good = np.bincount(pair % (1 << bits), weights=~toxic[pair >> bits], minlength=1 << bits)
+    for name, bits in (("word", WORD_BITS), ("gram", GRAM_BITS)):
+        bad, good = np.zeros(1 << bits), np.zeros(1 << bits)
+        for d, is_toxic in enumerate(toxic):
+            own = np.unique(back[w.first[d]:w.first[d + 1]])
+            values = bucket[own] if name == "word" else grams[tx.ragged(first[:-1][own], np.diff(first)[own])]
+            (bad if is_toxic else good)[np.unique(values)] += 1
         network.w[name][:, 0] = 0.4 * (np.log((bad + 1) / (toxic.sum() + 2)) - np.log((good + 1) / ((~toxic).sum() + 2)))
     doc, start, length = windows_of(w)
     places = np.append(back, len(bucket))
@@ -223,9 +223,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     for epoch in range(EPOCHS):
         features = network.features(bucket, grams, first)
         if epoch == 0:
-            scores = np.concatenate([evidence[place_of(np.arange(i, min(i + 8192, len(doc))))].max(axis=0) for i in range(0, len(doc), 8192)])
+            scores = np.concatenate([evidence[place_of(np.arange(i, min(i + 2048, len(doc))))].max(axis=0) for i in range(0, len(doc), 2048)])
         else:
-            scores = np.concatenate([network.logits(place_of(np.arange(i, min(i + 8192, len(doc)))), features) for i in range(0, len(doc), 8192)])
+            scores = np.concatenate([network.logits(place_of(np.arange(i, min(i + 2048, len(doc)))), features) for i in range(0, len(doc), 2048)])
         order = np.lexsort((-scores, doc))
         top = order[np.searchsorted(doc[order], np.arange(len(toxic)))]
         other = np.searchsorted(doc, np.arange(len(toxic))) + (random.random(len(toxic)) * np.bincount(doc, minlength=len(toxic))).astype(np.int64)
