@@ -9,7 +9,7 @@ from driftloom.catalog.base import query
 from driftloom.catalog.model_queries import (
     EVENT_BLOCK, WINDOW_SQL, checks_sql, detector_specs, event_checks, event_instances, events_window, fixed_models)
 from driftloom.operators import adwin, bayes, fusion
-from driftloom.plans import enhanced, informed, streams
+from driftloom.plans import enhanced, informed, specs, streams
 from driftloom.session import cut
 
 CELL = ["stream", "seed", "model"]
@@ -52,14 +52,12 @@ def signals_sql(*more):
 
 def acted_signals(spark, d, mode):
     checks, rises, det, w = given(spark, d)
-    gated = cut(fusion.confirm(fusion.timeline(checks, rises), mode, w), "gated")
-    return fusion.cool_down(gated, COOLDOWN), det, w
+    return cut(fusion.decide(fusion.timeline(checks, rises), mode, w, COOLDOWN), "decided"), det, w
 
 
 @query("fus_and_gate", signals_sql(GATED) + "SELECT detector, idx, signal, gated FROM gated")
 def _(spark, d):
-    checks, rises, _, w = given(spark, d)
-    return fusion.confirm(fusion.timeline(checks, rises), "and", w).select("detector", "idx", "signal", "gated")
+    return acted_signals(spark, d, "and")[0].select("detector", "idx", "signal", "gated")
 
 
 for _mode, _gate in (("or", PASSED), ("and", GATED)):
@@ -69,8 +67,7 @@ SELECT g.detector, g.idx, CAST(a.idx IS NOT NULL AS INTEGER) AS acted FROM gated
 
 for _mode, _only in (("vocab_only", "vocab"), ("adwin_only", "adwin")):
     query(f"fus_{_mode}", signals_sql() + f"SELECT detector, idx, signal AS gated FROM signals WHERE detector = '{_only}'")(
-        lambda spark, d, m=_mode: (lambda checks, rises, det, w: fusion.confirm(fusion.timeline(checks, rises), m, w))(
-            *given(spark, d)).select("detector", "idx", "gated"))
+        lambda spark, d, m=_mode: acted_signals(spark, d, m)[0].select("detector", "idx", "gated"))
 
 
 @query("fus_rebuild_starts", signals_sql(PASSED, ACTED) + f"""
@@ -79,7 +76,7 @@ SELECT idx, detector, train_from, idx - train_from + 1 AS rebuild_size FROM (
   FROM gated g JOIN acts a ON a.detector = g.detector AND a.idx = g.idx)""")
 def _(spark, d):
     acted, _, _ = acted_signals(spark, d, "or")
-    return fusion.rebuild_starts(acted, MIN_REBUILD).select("idx", "detector", "train_from", "rebuild_size")
+    return fusion.rebuild_starts(acted, MIN_REBUILD, specs.DEFAULTS["buffer_rows"]).select("idx", "detector", "train_from", "rebuild_size")
 
 
 @query("fus_fast_set", signals_sql(PASSED, ACTED) + f"""
@@ -92,7 +89,6 @@ SELECT idx AS from_idx, least(coalesce(lead(idx) OVER (ORDER BY idx), (SELECT co
 FROM marks m WHERE idx < (SELECT count(*) FROM rows)""")
 def _(spark, d):
     acted, det, w = acted_signals(spark, d, "or")
-    acted = cut(acted, "acted")
     start = det.select(*CELL, F.lit(0).cast("long").alias("idx"), F.lit(0.1).alias("lam"))
     changes = acted.where("detector = 'vocab' and signal = 'change'").select(
         *CELL, "idx", (F.lit(0.1) + F.floor(F.col("idx") / w).cast("double") / 100).alias("lam"))
@@ -106,7 +102,7 @@ SELECT idx // 32 AS word, min(idx) AS first, count(*) AS size, CAST(sum(CASE WHE
 FROM rows WHERE idx >= 1000 GROUP BY 1""")
 def _(spark, d):
     rows = event_instances(spark, d).select("stream", "seed", "idx", "label", F.lit(0).alias("pred"))
-    return adwin.pack_errors(rows, ["stream", "seed"], fusion.WARMUP).select("word", "first", "size", "bits")
+    return adwin.pack_errors(rows, ["stream", "seed"], specs.DEFAULTS["warmup_rows"]).select("word", "first", "size", "bits")
 
 
 @query("adw_error_rises")

@@ -36,7 +36,7 @@ def cleaned(source: str, key: str, text: str, extra: str = "") -> str:
     """CTE `cleaned(key, text, ...)`: lowercase, no URLs or mentions, hashtags open, squeezed."""
     more = f", {extra}" if extra else ""
     plain = (f"replace(regexp_replace(regexp_replace(lower({text}), "
-             "'(?:https?://|www\\.)[^\\s\\x{a0}]+', ' ', 'g'), '@[\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'), '#', ' ')")
+             "'(?:https?://|www\\.)[^\\s\\x{a0}]+', ' ', 'g'), '@[\\p{L}\\p{N}_]+', ' ', 'g'), '#', ' ')")
     return f"""
 cleaned AS (SELECT {key}{more}, {squeeze(plain)} AS text FROM {source})"""
 

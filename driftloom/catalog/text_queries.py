@@ -39,7 +39,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.drop_urls(F.col("html"))).alias("digest"))
 
 
-@query("txt_mentions", r"SELECT doc_id, md5(regexp_replace(text, '@[\p{L}\p{N}\p{M}_]+', ' ', 'g')) AS digest FROM documents")
+@query("txt_mentions", r"SELECT doc_id, md5(regexp_replace(text, '@[\p{L}\p{N}_]+', ' ', 'g')) AS digest FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.drop_mentions(F.col("text"))).alias("digest"))
 

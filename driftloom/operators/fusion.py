@@ -3,7 +3,7 @@
     vocabulary  stream, seed, model, idx, signal, train_from   (one row per check)
     rises       stream, seed, model, idx, width                (rises of the error rate)
 
-Both tables are a few rows per window; gates are as-of lookups over their union.
+Both tables are a few rows per window; decisions are folds over their union, through the parts in `reactions`.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.operators.fold import ordered_fold
+from driftloom.operators.reactions import HEARD, Channels
+from driftloom.operators.vocabulary import CHANGE
 
 CELL = ["stream", "seed", "model"]
-# Fixed values of the enhanced model.
-WARMUP = 1000
-RECENT_ROWS = 24_000
 
 
 def timeline(vocabulary: DataFrame, rises: DataFrame) -> DataFrame:
@@ -31,68 +30,44 @@ def timeline(vocabulary: DataFrame, rises: DataFrame) -> DataFrame:
     return checks.unionByName(errors)
 
 
-def confirm(signals: DataFrame, fusion: str, confirm_window: int) -> DataFrame:
-    """Add `gated`, the signal after fusion, by a backward as-of look at the other channel.
+def decide(signals: DataFrame, fusion: str, confirm_window: int, cooldown: int) -> DataFrame:
+    """Add `gated`, the signal after fusion, and `acted`, a change that its channel's cooldown lets through.
 
-    `and`: an error rise needs a vocabulary signal at most confirm_window rows back, and a
-    vocabulary warning or change becomes a change if an error rise is that recent, else none.
-    """
-    if fusion == "vocab_only":
-        return signals.where("detector = 'vocab'").withColumn("gated", F.col("signal"))
-    if fusion == "adwin_only":
-        return signals.where("detector = 'adwin'").withColumn("gated", F.col("signal"))
-    if fusion == "or":
-        return signals.withColumn("gated", F.col("signal"))
-    if fusion != "and":
-        raise ValueError(f"fusion {fusion!r}")
-    order = Window.partitionBy(*CELL).orderBy("idx", "turn").rowsBetween(Window.unboundedPreceding, -1)
-
-    def last_of(detector: str):
-        raised = (F.col("detector") == detector) & (F.col("signal") != "none")
-        return F.last(F.when(raised, F.col("idx")), ignorenulls=True).over(order)
-
-    other = F.when(F.col("detector") == "adwin", last_of("vocab")).otherwise(last_of("adwin"))
-    near = F.col("idx") - F.col("_other") <= confirm_window
-    raised = F.col("signal") != "none"
-    return signals.withColumn("_other", other).withColumn(
-        "gated", F.when(raised & F.coalesce(near, F.lit(False)), "change").otherwise("none")).drop("_other")
-
-
-def cool_down(gated: DataFrame, cooldown: int, acts: bool = True) -> DataFrame:
-    """Add `acted`: a confirmed change that its own channel's cooldown does not suppress.
-
-    A greedy thinning per channel. `acts` says whether the vocabulary strategy reacts to every
-    change it sees (Rebuild does); its cooldown starts only at a real reaction.
+    Folds the signals of a cell through the parts that the models use; both channels always react here.
     """
+    known = [F.lit(c) for c in sorted(HEARD[fusion])]
+
     def start():
-        quiet_until = [-1]
+        channels = Channels(fusion, confirm_window, cooldown)
 
-        def acted(row) -> bool:
-            if row.gated != "change" or row.idx < quiet_until[0]:
-                return False
-            if row.detector == "adwin" or acts:
-                quiet_until[0] = row.idx + cooldown
-            return True
+        def of(row) -> tuple[str, bool]:
+            gated = channels.gate(row.detector, row.idx, row.signal)
+            acted = gated == CHANGE and channels.rested(row.detector, row.idx)
+            if acted:
+                channels.rest(row.detector, row.idx)
+            channels.note(row.detector, row.idx, row.signal)
+            return gated, acted
 
         def step(batch: pd.DataFrame) -> pd.DataFrame:
-            batch = batch.assign(acted=[acted(row) for row in batch.itertuples()])
-            return batch[[*CELL, "detector", "idx", "acted"]]
+            found = [of(row) for row in batch.itertuples()]
+            return batch.assign(gated=[g for g, _ in found], acted=[a for _, a in found])[[*CELL, "detector", "idx", "gated", "acted"]]
 
         return step
 
+    heard = signals.where(F.col("detector").isin(*known))
     flags = ordered_fold(
-        gated.select(*CELL, "detector", "idx", "gated"), [*CELL, "detector"], ["idx"], start,
-        "stream string, seed int, model string, detector string, idx long, acted boolean")
-    return gated.join(flags, [*CELL, "detector", "idx"])
+        heard.select(*CELL, "detector", "idx", "turn", "signal"), CELL, ["idx", "turn"], start,
+        "stream string, seed int, model string, detector string, idx long, gated string, acted boolean")
+    return heard.join(flags, [*CELL, "detector", "idx"])
 
 
-def rebuild_starts(acted: DataFrame, min_rebuild: int) -> DataFrame:
+def rebuild_starts(acted: DataFrame, min_rebuild: int, buffer_rows: int) -> DataFrame:
     """(cell, idx, detector, train_from, rebuild_size) of every rebuild.
 
     The error channel rebuilds from its own window, at least min_rebuild rows and at most the
-    recent buffer; the vocabulary channel from its warning buffer.
+    buffer; the vocabulary channel from its warning buffer.
     """
-    size = F.least(F.greatest(F.col("width"), F.lit(min_rebuild)), F.lit(RECENT_ROWS))
+    size = F.least(F.greatest(F.col("width"), F.lit(min_rebuild)), F.lit(buffer_rows))
     first = F.when(F.col("detector") == "adwin", F.greatest(F.col("idx") - size + 1, F.lit(0))).otherwise(
         F.col("train_from"))
     return acted.where("acted").select(

@@ -14,6 +14,7 @@ from driftloom.operators.fold import ordered_fold
 from driftloom.operators.vocabulary import CHANGE
 
 CELL = ["stream", "seed", "model"]
+# The names of the strategies.
 STRATEGIES = (
     "SlowIncreaseUpToALimit", "SlowIncreaseFastReset", "FastSetFastReset",
     "FastSetSlowDecrease", "Rebuild",

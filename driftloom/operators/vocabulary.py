@@ -10,7 +10,7 @@ the signal is sequential, and that runs over one row per check.
 from __future__ import annotations
 
 from collections import deque
-from statistics import fmean, pstdev
+from math import fsum, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +20,7 @@ from driftloom.operators.fold import ordered_fold
 
 STREAM = ["stream", "seed"]
 NONE, WARNING, CHANGE = "none", "warning", "change"
+RANK = {NONE: 0, WARNING: 1, CHANGE: 2}
 MIN_HISTORY = 3
 # Deviations below this are rounding, not drift.
 QUIET = 1e-12
@@ -101,35 +102,34 @@ def signals(values: DataFrame, detectors: DataFrame) -> DataFrame:
     )
 
 
+def raised(deviation: float, spread: float, thresholds: list[tuple[str, float]]) -> str:
+    """First level whose multiple of the spread the deviation is beyond."""
+    return next((level for level, times in thresholds if deviation > times * spread), NONE)
+
+
 class SignalHistory:
-    """Past precisions of both classes and the signal of a new pair."""
+    """Past precisions of both classes, with the signal of a new pair: the stronger one of the two classes."""
 
     def __init__(self, past=((), ())):
         self.past = [deque(values) for values in past]
 
     def signal(self, values, alpha: float, beta: float, history: int) -> str:
-        found = []
-        for value, past in zip(values, self.past):
-            if value is None or value != value:  # no reference yet: nothing to compare
-                continue
-            found.append(self._compare(value, list(past), alpha, beta))
-            if found[-1] == CHANGE:
-                past.clear()
-            past.append(value)
-            while len(past) > history:
-                past.popleft()
-        return CHANGE if CHANGE in found else WARNING if WARNING in found else NONE
-
-    @staticmethod
-    def _compare(value: float, past: list, alpha: float, beta: float) -> str:
-        if len(past) < MIN_HISTORY:
-            return NONE
-        deviation, spread = abs(value - fmean(past)), pstdev(past)
-        if deviation <= QUIET:
-            return NONE
-        if deviation > alpha * spread:
-            return CHANGE
-        return WARNING if deviation > beta * spread else NONE
+        levels = [self._of_class(c, v, [(CHANGE, alpha), (WARNING, beta)], history)
+                  for c, v in enumerate(values) if v is not None and v == v]  # no reference yet: nothing to compare
+        return max(levels, key=RANK.get, default=NONE)
+
+    def _of_class(self, c: int, value: float, thresholds: list, history: int) -> str:
+        past, n = self.past[c], len(self.past[c])
+        level = NONE
+        if n >= MIN_HISTORY:
+            # exact sums, so that equal values have no spread
+            mean = fsum(past) / n
+            spread = sqrt(fsum((x - mean) ** 2 for x in past) / n)
+            deviation = abs(value - mean)
+            level = NONE if deviation <= QUIET else raised(deviation, spread, thresholds)
+        kept = [] if level == CHANGE else past
+        self.past[c] = deque([*kept, value], maxlen=history)
+        return level
 
 
 def _signal_step():

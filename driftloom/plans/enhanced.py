@@ -21,7 +21,7 @@ from driftloom.operators import bayes, vocabulary
 from driftloom.operators.adwin import unpack
 from driftloom.operators.fold import ordered_fold
 from driftloom.operators.prefix import BLOCK_ROWS
-from driftloom.operators.reactor import Reactor
+from driftloom.operators.reactions import Cell
 from driftloom.plans.informed import extent_of
 from driftloom.session import cut
 
@@ -113,7 +113,7 @@ def _reaction_step():
         spec = json.loads(row.spec)
         memory = json.loads(row.memory) if row.memory else None
         cell.update(key=(row.stream, row.seed, row.model), hi=int(row.hi), look=int(row.look),
-                    w=int(row.w), at=None, reactor=Reactor(spec, int(row.b), float(row.lam), memory))
+                    w=int(row.w), at=None, reactor=Cell(spec, int(row.b), float(row.lam), memory))
 
     def feed(row) -> None:
         reactor = cell["reactor"]
@@ -144,7 +144,7 @@ def _reaction_step():
         rows += [{**key, "what": "rate", "idx": idx, "lam": lam} for idx, lam in reactor.rates]
         rows.append({
             **key, "what": "state", "next_row": (cell["at"] if stopped else cell["hi"]) + 1,
-            "b": reactor.b, "lam": reactor.lam, "memory": json.dumps(reactor.memory()),
+            "b": reactor.start, "lam": reactor.lam, "memory": json.dumps(reactor.memory()),
             "look": cell["w"] * LOOK_WINDOWS if stopped else cell["look"] * 2})
         # Plain objects with None: NaN would turn whole-number columns into floats.
         return pd.DataFrame(

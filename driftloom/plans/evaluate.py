@@ -16,18 +16,10 @@ from driftloom.session import cut
 STREAM = ["stream", "seed"]
 CELL = ["stream", "seed", "model"]
 DETECTORS = ("model", "vocab", "adwin")
-# Row count of a large stream, and the settings by size.
-LARGE_STREAM = 500_000
-TOLERANCE = (10_000, 50_000)
-RECOVERY_WINDOW = (1_000, 10_000)
 RECOVERY_RATIO = 0.95
 PRE_WINDOWS = 5
 
 
-def by_size(n: Column, setting: tuple[int, int]) -> Column:
-    return F.when(n > LARGE_STREAM, setting[1]).otherwise(setting[0]).cast("long")
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -148,7 +140,7 @@ def detection_metrics(events: DataFrame, drifts: DataFrame, tolerance: Column, c
 
 
 def recovery_times(
-    predictions: DataFrame, drifts: DataFrame, window: int | None = None,
+    predictions: DataFrame, drifts: DataFrame, window: int,
     block_rows: int = BLOCK_ROWS, ratio: float = RECOVERY_RATIO,
 ) -> DataFrame:
     """Per (cell, drift): rows until a full window is back at `ratio` of the level before.
@@ -167,8 +159,7 @@ def recovery_times(
     marks = drifts.select(
         *STREAM, "p", F.coalesce(F.lag("p").over(order), F.lit(0)).alias("prev"),
         F.lead("p").over(order).alias("next"))
-    size = by_size(F.col("n"), RECOVERY_WINDOW) if window is None else F.lit(window).cast("long")
-    marks = extent.join(marks, STREAM).withColumn("w", size).select(
+    marks = extent.join(marks, STREAM).withColumn("w", F.lit(window).cast("long")).select(
         *CELL, "p", "w", "n", F.coalesce("next", "n").alias("bound"),
         F.greatest(F.col("prev"), F.col("p") - PRE_WINDOWS * F.col("w")).alias("from"))
 
@@ -204,12 +195,14 @@ def recovery_rollup(recovery: DataFrame) -> DataFrame:
 
 
 def metrics_row(
-    predictions: DataFrame, events: DataFrame, drifts: DataFrame, tolerance: int | None = None,
-    recovery_window: int | None = None, sizes: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+    predictions: DataFrame, events: DataFrame, drifts: DataFrame, tolerance: int, recovery_window: int,
+    sizes: DataFrame | None = None, block_rows: int = BLOCK_ROWS, blind: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per (stream, seed, model) with quality, detection and recovery.
 
-    `predictions` is a table. `sizes` may give model_entries per cell.
+    `predictions` is a table. `sizes` may give model_entries per cell. Tolerance and recovery window are settings of the
+    run, never guessed from the number of rows. Models named in `blind` have no detector: their detection columns and
+    rebuilds are NULL.
     """
     summary = classification_summary(predictions, CELL)
     points = drifts.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n_drifts"))
@@ -217,11 +210,7 @@ def metrics_row(
     sides = split_summary(predictions, main, CELL).groupBy(*CELL).agg(
         F.max(F.when(F.col("side") == "pre", F.col("accuracy"))).alias("accuracy_pre_drift"),
         F.max(F.when(F.col("side") == "post", F.col("accuracy"))).alias("accuracy_post_drift"))
-    cells = summary.select(*CELL, "n").withColumn(
-        "tolerance", by_size(F.col("n"), TOLERANCE) if tolerance is None else F.lit(tolerance).cast("long")
-    ).withColumn(
-        "recovery_window",
-        by_size(F.col("n"), RECOVERY_WINDOW) if recovery_window is None else F.lit(recovery_window).cast("long"))
+    cells = summary.select(*CELL, "n", F.lit(tolerance).cast("long").alias("tolerance"), F.lit(recovery_window).cast("long").alias("recovery_window"))
     cells = cut(cells, "cells")
     per_stream = cells.select(*STREAM, "tolerance").distinct()
     timed = drifts.select(*STREAM, "p", "e").join(per_stream, STREAM)
@@ -236,6 +225,10 @@ def metrics_row(
         .join(sides, CELL, "left").join(blocks, CELL, "left").join(rebuilt, CELL, "left")
         .join(recovered, CELL, "left").fillna(0, ["rebuilds"])
     )
+    if blind:
+        seen = ~F.col("model").isin(*blind)
+        for c in (*[f"{v}_{f}" for v in DETECTORS for f in fields], "rebuilds"):
+            out = out.withColumn(c, F.when(seen, F.col(c)))
     columns = [
         *CELL, "n", "n_drifts", "drift_point", "accuracy", "precision_macro", "recall_macro", "f1_macro",
         "accuracy_pre_drift", "accuracy_post_drift",
