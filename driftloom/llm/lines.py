@@ -88,7 +88,7 @@ def numbered(lines: DataFrame) -> Column:
 
 
 def later_classes(classes: DataFrame, sets_of) -> DataFrame:
-    """Ids of classes (id, n, prefix) that have a similar earlier class; sets_of(ids) gives the full sets."""
+    """Ids of classes (id, n, prefix) that have a similar earlier class; sets_of(pairs) gives the full sets."""
     listed = classes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     of_token = Window.partitionBy("token")
     met = (listed.withColumn("first", F.min(F.struct("id", "n", "place")).over(of_token)).withColumn("last", F.max("id").over(of_token))
@@ -115,8 +115,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = cut(known.where(n > 0).select("d", "t", "line", F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), n.alias("n"), prefix.alias("prefix")), "lines")
     key = ["k1", "k2"]
     lines = lines.withColumn("id", numbered(lines))
-    firsts = lines.groupBy(*key).agg(F.min(F.struct("id", "d", "t", "line", "n", "prefix")).alias("x"))
-    classes = cut(firsts.select(*key, "x.*"), "line-classes")
+    classes = cut(lines.groupBy(*key).agg(F.min(F.struct("id", "d", "t", "line")).alias("x")).select(*key, "x.*"), "line-classes")
+    listed = lines.select("id", "n", "prefix").join(classes.select("id"), "id", "left_semi")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("early").alias("id")).union(pairs.select(F.col("late").alias("id"))).distinct()
@@ -127,7 +127,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         found = rows.select("id", tokens(F.split(F.lower(F.get("lines", F.col("line"))), " "), levels).alias("tokens"))
         return cut(found, "line-sets").dropDuplicates(["id"])
 
-    late = later_classes(classes.select("id", "n", "prefix"), sets_of).withColumn("late", F.lit(True))
+    late = later_classes(listed, sets_of).withColumn("late", F.lit(True))
     status = classes.select(*key, "id").join(late, "id", "left").select(*key, F.col("id").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.select("d", "t", "line", "id", *key).join(status, key).where(F.col("late") | (F.col("id") != F.col("first")))
     return gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("line")).alias("gone"))
