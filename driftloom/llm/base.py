@@ -10,7 +10,6 @@ from driftloom.session import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-#: DuckDB text of crc32(doc_id as text) is not at hand, so folds are computed in Spark only.
 
 
 def query(name: str, sql: str | None = None):

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm import oracles
 from driftloom.llm import text as tx
 from driftloom.llm.base import bit_set, cut, query, table
 
@@ -156,7 +157,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"] == bad["bad_doc_id"], "left_anti")
 
 
-@query("op1_decontamination")
+@query("op1_decontamination", oracles.DECONTAMINATION)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

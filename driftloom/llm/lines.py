@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.llm import oracles
 from driftloom.llm.base import cut, query, table
 
 PERCENT = 80
@@ -142,7 +143,7 @@ def clean(docs: DataFrame) -> DataFrame:
     return docs.join(gone, key, "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", oracles.LINES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = repeated_lines(docs)
@@ -150,4 +151,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = docs.select("doc_id", F.xxhash64("text").alias("t"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_lines"))
     return base.join(gone, (base["doc_id"].eqNullSafe(gone["d"])) & (base["t"] == gone["t"]), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
+        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm import oracles
 from driftloom.llm import text as tx
 from driftloom.llm.base import cut, query, table
 from driftloom.llm.components import components
@@ -170,7 +171,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(later, docs["doc_id"] == later["later_doc_id"], "left_anti")
 
 
-@query("op10_minhash")
+@query("op10_minhash", oracles.MINHASH)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm import oracles
 from driftloom.llm.base import cut, query, table
 from driftloom.llm.components import components
 
@@ -138,7 +139,7 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
     return keyed.select("id", *key).join(of_class, key).select("id", "n_links", "component_id").union(alone)
 
 
-@query("op2_pivot_index")
+@query("op2_pivot_index", oracles.PIVOT_INDEX)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("string").alias("label"))

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm import oracles
 from driftloom.llm.base import cut, fold, query, table
 from driftloom.llm.blocks import Block, answers, asks, documents, shards_for, totals, with_answers, write_blocks
 
@@ -65,6 +66,7 @@ def score_documents(docs: DataFrame, folds: int, held: int, order: int = ORDER,
     return with_answers(written, answered, score, SCORED)
 
 
-@query("op9_lm_scoring")
+@query("op9_lm_scoring", oracles.scoring(STRENGTH))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), folds=7, held=2)
+    found = score_documents(table(spark, sf_dir, "documents"), folds=7, held=2)
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})

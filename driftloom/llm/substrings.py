@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.llm import oracles
 from driftloom.llm import text as tx
 from driftloom.llm.base import bit_set, cut, query, table
 
@@ -194,6 +195,6 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", oracles.SUBSTRINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
