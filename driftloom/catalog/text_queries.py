@@ -214,7 +214,26 @@ def _(spark, d):
                     F.array(F.array(quarter, quarter + 50)).alias("drift_windows"))
     path = scratch(spark, "sidecars")
     meta.write.mode("overwrite").json(path)
-    return files.explode_drifts(spark.read.schema(files.SIDECAR_SCHEMA).json(path))
+    return files.explode_drifts(spark.read.schema(files.SIDECAR_SCHEMA).json(path)).drop("natural")
+
+
+@query("snk_two_streams", sql.with_(sql.EVENTS) + """
+, parts AS (SELECT id % 2 AS seed, row_number() OVER (PARTITION BY id % 2 ORDER BY idx) - 1 AS idx, id FROM ev_tokens),
+sizes AS (SELECT seed, count(*) AS n FROM parts GROUP BY seed)
+SELECT 's_events' AS stream, seed, count(*) AS n, count(*) FILTER (idx >= s.n // 2) AS after_drift, CAST(sum(id) AS BIGINT) AS ids
+FROM parts JOIN sizes s USING (seed) GROUP BY seed""")
+def _(spark, d):
+    """Two streams saved one after the other, read back together and joined with their drifts."""
+    from driftloom.operators.sampling import ordinal_by_index
+    rows = ordinal_by_index(_event_runs(spark, d), ["stream", "seed"]).drop("idx", "tokens").withColumnRenamed("ordinal", "idx")
+    root = scratch(spark, "streams")
+    half = rows.groupBy("stream", "seed").agg(F.array(F.floor(F.count(F.lit(1)) / 2).cast("long")).alias("drift_points"))
+    for seed in (0, 1):
+        sinks.save_streams(rows.where(F.col("seed") == seed), half.where(F.col("seed") == seed), root)
+    drifts = files.explode_drifts(files.read_sidecars(spark, f"{root}/drift_points"))
+    both = spark.read.parquet(f"{root}/streams").join(drifts.select("stream", "seed", "p"), ["stream", "seed"])
+    return both.groupBy("stream", "seed").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("idx") >= F.col("p")).alias("after_drift"), F.sum("id").alias("ids"))
 
 
 def _messages(spark, d):

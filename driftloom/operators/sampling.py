@@ -130,9 +130,10 @@ def stratified_sample(segmented: DataFrame, quota: DataFrame, seed: int) -> Data
 def new_positions(kept: DataFrame) -> DataFrame:
     """Where each segment bound lands after sampling: kept rows before the bound."""
     counts = kept.groupBy("segment").count()
-    upto = Window.orderBy("segment")  # seven rows
-    return counts.select("segment", F.sum("count").over(upto).alias("drift_point")).where(
-        f"segment < {SEGMENTS}")
+    bounds = kept.sparkSession.range(SEGMENTS).select(F.col("id").cast("int").alias("segment"))  # a segment may have kept no row
+    upto = Window.orderBy("segment")  # six rows
+    return bounds.join(counts, "segment", "left").select(
+        "segment", F.sum(F.coalesce("count", F.lit(0))).over(upto).alias("drift_point"))
 
 
 def segment_shares(kept: DataFrame) -> DataFrame:

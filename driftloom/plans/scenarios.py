@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import clock
-from driftloom.operators.sampling import draw_key, drawn_ordinal, ordinal_by_index, uniform, usable_rows
 from driftloom.functions.text import mentions_topic
+from driftloom.operators.sampling import draw_key, drawn_ordinal, ordinal_by_index, uniform, usable_rows
+from driftloom.session import cut
 
 # Topic keywords and the shape of the scenarios.
 TOPIC_A = ["boss", "class", "classes", "college", "coursework", "essay", "exam", "exams", "finals",
@@ -137,14 +138,18 @@ def assemble(drawn: DataFrame, n: int) -> DataFrame:
 
 
 def build(corpus: DataFrame, n: int, seeds, names=SCENARIOS, topic_a=TOPIC_A, topic_b=TOPIC_B) -> DataFrame:
-    """All scenario streams; the caller checks `exhausted` on the draw before publishing."""
+    """All scenario streams; refuses a corpus whose pools do not fill every slot."""
     wanted = slots(corpus.sparkSession, names, n, seeds)
-    return assemble(draw(topic_pools(corpus, topic_a, topic_b), wanted, seeds), n)
+    drawn = cut(draw(topic_pools(corpus, topic_a, topic_b), wanted, seeds), "drawn")
+    short = exhausted(drawn).limit(5).collect()
+    if short:
+        raise ValueError("pools too small: " + ", ".join(f"{r['stream']} seed {r['seed']} {r['topic']}/{r['class']}: {r['missing']}" for r in short))
+    return assemble(drawn, n)
 
 
 def sidecar(name: str, n: int, seed: int, positive_share: float) -> str:
     """Drift metadata of one scenario stream as JSON text."""
     meta = drift_points(name, n)
     return json.dumps({
-        "stream": f"{name}_seed{seed}", "n": n, "positive_share": round(positive_share, 4), **meta,
+        "stream": name, "n": n, "positive_share": round(positive_share, 4), **meta,
         "seed": seed, "topics": {"A": TOPIC_A, "B": TOPIC_B}})

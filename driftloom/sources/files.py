@@ -33,6 +33,8 @@ def bad_dates(raw: DataFrame) -> DataFrame:
 
 def time_ordered(raw: DataFrame) -> DataFrame:
     """Corpus rows in arrival order with a dense index."""
+    if bad_dates(raw).first()["bad_dates"]:
+        raise ValueError("dates without the expected zone")
     rows = raw.select(
         "id", clock.corpus_timestamp(F.col("date")).alias("ts"),
         clock.binary_label(F.col("label")).alias("label"), "user", "text")
@@ -59,15 +61,17 @@ def replay_slice(stream: DataFrame, run: str, start: int = 0, limit: int | None
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """Drift metadata of all streams below a folder (stream and seed may be its partitions) or of one file."""
     return spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).json(path)
 
 
 def explode_drifts(sidecars: DataFrame) -> DataFrame:
-    """(stream, seed, k, p, e): one row per drift; e is the end of its window, else p."""
+    """(stream, seed, k, p, e, natural): one row per drift; e is the end of its window, else p; natural is the stream's
+    natural change point, if it has one."""
     return (
         sidecars.select("stream", F.coalesce("seed", F.lit(0)).alias("seed"), "drift_windows",
-                        F.posexplode("drift_points").alias("k", "p"))
+                        F.col("natural_change_point").alias("natural"), F.posexplode("drift_points").alias("k", "p"))
         .withColumn("e", F.coalesce(F.try_element_at(F.filter(
             "drift_windows", lambda w: w[0] == F.col("p")), F.lit(1))[1], F.col("p")))
-        .select("stream", "seed", "k", "p", "e")
+        .select("stream", "seed", "k", "p", "e", "natural")
     )

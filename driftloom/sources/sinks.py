@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 MEASUREMENTS = ("model_metrics", "pipeline_metrics", "drift_event")
@@ -19,16 +19,23 @@ def stream_metadata(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def save_streams(rows: DataFrame, sidecars: DataFrame, root: str) -> None:
-    """Write streams partitioned by (stream, seed) and one metadata row per stream.
+    """Write streams partitioned by (stream, seed) and one metadata row per stream, next to those that are there.
 
-    `sidecars` holds drift metadata per (stream, seed). Refuses an index with holes.
+    `sidecars` holds drift metadata per (stream, seed). Refuses an index with holes. Only the streams in `rows` are
+    replaced; files are sorted by idx, so that the bounds of a slice skip row groups.
     """
     meta = stream_metadata(rows, ["stream", "seed"])
     if meta.where("not dense").limit(1).count():
         raise ValueError("idx must be 0..n-1 in every stream")
-    rows.write.mode("overwrite").partitionBy("stream", "seed").parquet(os.path.join(root, "streams"))
-    meta.drop("dense").join(sidecars, ["stream", "seed"]).write.mode("overwrite").json(
-        os.path.join(root, "drift_points"))
+    key = ["stream", "seed"]
+    sorted_rows = rows.repartitionByRange(*key, "idx").sortWithinPartitions(*key, "idx")
+    replace_parts(sorted_rows, key).parquet(os.path.join(root, "streams"))
+    replace_parts(meta.drop("dense").join(sidecars, key), key).json(os.path.join(root, "drift_points"))
+
+
+def replace_parts(df: DataFrame, keys: list[str]) -> DataFrameWriter:
+    """Writer that replaces the partitions in `df` and no others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
 
 
 def result_path(root: str, name: str, partial: bool = False) -> str:
@@ -49,7 +56,7 @@ def append_runs(old: DataFrame, new: DataFrame) -> DataFrame:
 def save_run_detail(events: DataFrame, trace: DataFrame, checks: DataFrame, root: str) -> None:
     """Events, rate trace and checks of each run as JSON."""
     for name, df in (("events", events), ("lambda_trace", trace), ("checks", checks)):
-        df.write.mode("overwrite").partitionBy("run").json(os.path.join(root, name))
+        replace_parts(df, ["run"]).json(os.path.join(root, name))
 
 
 def drift_event_points(events: DataFrame) -> DataFrame:
