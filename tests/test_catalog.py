@@ -9,7 +9,7 @@ from driftloom import catalog
 
 SAMPLE = ["txt_tokens", "txt_unescape", "src_raw_corpus", "src_parse", "num_label_flip", "str_time_order", "str_stratified_sample",
           "str_scenarios", "eng_blocked_prefix", "det_signals", "lam_SlowIncreaseFastReset", "nb_informed_rebuild",
-          "fus_and_cooldown", "fus_fast_set", "eva_metrics_row", "rpt_main_table", "flx_moving_average", "ss_hourly_counts"]
+          "nb_replay_slice", "snk_two_streams", "fus_and_cooldown", "fus_fast_set", "eva_metrics_row", "rpt_main_table", "flx_moving_average", "ss_hourly_counts"]
 
 
 @pytest.fixture(scope="module")
