@@ -52,17 +52,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
      .write.options(**STORE).orc(path))
 
 
+def bases(stored: DataFrame) -> DataFrame:
+    """part and base: the ids of all files before it (one row for each file)."""
+    sizes = stored.groupBy("part").agg(F.max(F.col("file_start") + F.size("ids")).alias("n"))
+    return sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).orc(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Stored documents: doc_id, start (ids of all documents before it), ids."""
-    rows = spark.read.schema(SCHEMA).orc(path)
-    sizes = rows.groupBy("part").agg(F.max(F.col("file_start") + F.size("ids")).alias("n"))
-    # one row for each file
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "ids")
+    rows = files_of(spark, path)
+    return rows.join(bases(rows), "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "ids")
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers; the ids stay where they are read."""
 
     def digest(batches):
         for batch in batches:
@@ -71,14 +78,16 @@ def digests(stored: DataFrame) -> DataFrame:
             data = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             sums = [zlib.crc32(data[a:b].data) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                [*(batch.column(c) for c in ("doc_id", "file_start", "part")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
+                names=["doc_id", "file_start", "part", "n_tokens", "ids_crc32"])
 
-    return stored.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files_of(spark, path)
+    found = rows.mapInArrow(digest, "doc_id long, file_start long, part int, n_tokens long, ids_crc32 long")
+    return found.join(bases(rows), "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/driftloom/token-files-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
-    return digests(read(spark, path))
+    return digests(spark, path)

@@ -143,7 +143,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
         ids = reference.encode(t or "", add_special_tokens=False).ids + [1]
         assert (r["doc_id"], r["start"], r["ids"]) == (i, at, ids)
         at += len(ids)
-    digests = by_id(token_files.digests(token_files.read(spark, path)), "n_tokens", "ids_crc32")
+    digests = by_id(token_files.digests(spark, path), "n_tokens", "ids_crc32")
     assert all(digests[r["doc_id"]] == (len(r["ids"]), zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())) for r in stored)
     token_files.write(frame(spark, []), str(tmp_path / "none"), TOKENIZER, end=1)
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
