@@ -30,7 +30,7 @@ from driftloom.llm.components import components
 
 SIDE, ROWS = 8, 3
 #: Rounds in which one member of each bucket, another one each time, is compared before all that are still apart.
-TURNS = 2
+TURNS = 1
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, left array<long>, right array<long>"
 
 
@@ -134,10 +134,10 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = cut(full_sets(docs, members.select("id").distinct(), size), "sets").dropDuplicates(["id"])
     # first the least of each bucket with all others, then other members in their turn, then all that is still apart
     pairs = cut(members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    seen, links, turn = None, None, 0
+    seen, joined, turn = None, None, 0
     while True:
         found = cut(verified(pairs, sets, percent), "verified")
-        links = found if links is None else links.union(found)
+        links = found if joined is None else found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         seen = pairs if seen is None else seen.union(pairs)
         joined = cut(components(links), "components")
         placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
