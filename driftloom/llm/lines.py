@@ -7,10 +7,10 @@ on the input. Lines of equal sets are one class first, so a line that stands in
 The join is by prefix filter: words are put in order of rarity, and two sets of the required similarity share a word
 among the first n - ceil(t * n) + 1 of each. Rarity is a count for each of 2 ** RARITY_BITS word buckets (a table of fixed
 size, sent with the plan as a literal), ties by hash; any common order gives the same result, rare words first only make
-it quick. Pairs that share a prefix word must pass the length filter and the positional filter (the words behind the
-shared one must suffice), and are then verified on their full sets. Each class is first compared with the earliest class
-of each prefix word that could match it; classes that found their match need no other, which spares groups of near
-copies their pairs.
+it quick. Pairs that share a prefix word must pass the length filter, the positional filter (the words behind the first
+shared one must suffice) and the count of words shared within the prefixes, and are then verified on their full sets.
+Lines of a prefix word that many share are first compared with the earliest of them; lines that found their match need no
+other, which spares groups of near copies their pairs.
 
 Null text has no lines; lines without words stay and match nothing; a null doc_id comes last. Rows of equal ids are told
 apart by a hash of their texts, and equal rows share their results. Other columns ride along in `clean`.
@@ -27,6 +27,8 @@ from driftloom.llm.base import cut, query, table
 
 PERCENT = 80
 RARITY_BITS = 16
+#: Words of so many lines have these compared with their earliest line before others.
+MANY = 50
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -93,17 +95,23 @@ def later_classes(classes: DataFrame, sets_of) -> DataFrame:
     listed = classes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     of_token = Window.partitionBy("token")
     met = (listed.withColumn("first", F.min(F.struct("id", "n", "place")).over(of_token)).withColumn("last", F.max("id").over(of_token))
-           .where("first.id < last").drop("last"))
+           .withColumn("members", F.count("*").over(of_token)).where("first.id < last").drop("last"))
     met = cut(met, "line-matches")
-    near = met.where("id > first.id").where(possible("first.n", "first.place", "n", "place"))
+    # words of many lines: their earliest line first
+    near = met.where(F.col("members") >= MANY).where("id > first.id").where(possible("first.n", "first.place", "n", "place"))
     tried = cut(near.select(F.col("first.id").alias("early"), F.col("id").alias("late")).distinct(), "line-pairs")
+    gone = cut(similar(tried, sets_of(tried)).select(F.col("late").alias("id")).distinct(), "line-later")
+    # what has no match yet meets all earlier lines of its prefix words; the words shared within the prefixes bound the
+    # overlap of the whole sets
     rest = met.select("id", "n", "place", "token")
     early = rest.select(F.col("id").alias("early"), F.col("n").alias("n1"), F.col("place").alias("p1"), "token")
-    gone = cut(similar(tried, sets_of(tried)).select(F.col("late").alias("id")).distinct(), "line-later")
-    # what has no match yet meets all earlier lines of its prefix words
     late = rest.join(gone, "id", "left_anti").select(F.col("id").alias("late"), F.col("n").alias("n2"), F.col("place").alias("p2"), "token")
-    pairs = late.join(early, "token").where("early < late").where(possible("n1", "p1", "n2", "p2"))
-    pairs = cut(pairs.select("early", "late").distinct().join(tried, ["early", "late"], "left_anti"), "line-pairs")
+    a, b = F.col("n1"), F.col("n2")
+    pairs = late.join(early, "token").where("early < late").where((a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT))
+    pairs = pairs.groupBy("early", "late", "n1", "n2").agg(F.count("*").alias("shared"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+    most = F.col("shared") + F.greatest(needed(a), needed(b)) - 1
+    pairs = pairs.where(possible("n1", "p1", "n2", "p2")).where(most * (100 + PERCENT) >= (a + b) * PERCENT)
+    pairs = cut(pairs.select("early", "late").join(tried, ["early", "late"], "left_anti"), "line-pairs")
     return gone.union(similar(pairs, sets_of(pairs)).select(F.col("late").alias("id")).distinct())
 
 
