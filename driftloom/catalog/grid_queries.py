@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.catalog import sql
 from driftloom.catalog.base import query
-from driftloom.catalog.model_queries import EVENT_BLOCK, WINDOW_SQL, checks_sql, event_instances, events_window
+from driftloom.catalog.model_queries import EVENT_BLOCK, checks_sql, event_instances, events_window
 from driftloom.plans import grid, specs, streams
 from driftloom.sources import files
 
