@@ -306,6 +306,19 @@ def test_quality(spark, docs):
     assert {r["kept"] for r in none.collect()} == {True}
 
 
+def zipf_text(r, k, words, prefix):
+    return " ".join(f"{prefix}{int(words * r.random() ** 3)}" for _ in range(k))
+
+
+def test_quality_keeps_good_documents_without_labels(spark):
+    r = random.Random(8)
+    rows = [(i, zipf_text(r, 60, 4000, "w"), "en") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    found = by_id(quality.judge(df, labels), "kept")
+    assert np.mean([found[i][0] for i in range(400, 800)]) > 0.95
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_scoring(spark, docs, order):
     found = {r["doc_id"]: r for r in scoring.score_documents(docs, 7, 2, order=order).collect()}
