@@ -130,6 +130,17 @@ def test_pivot_index_recall_and_components(spark):
     assert pivots.links(spark.createDataFrame([], "id long, v array<float>, label string"), 0.93).count() == 0
 
 
+def test_pivot_index_recall_in_a_group_of_a_third(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x[:1000] = rng.standard_normal(64) + 0.2 * rng.standard_normal((1000, 64))
+    df = spark.createDataFrame([(i, [float(y) for y in v], "a") for i, v in enumerate(x)], "id long, v array<float>, label string").repartition(4)
+    y = pivots.matrix(pa.array(list(x.astype(np.float32))))
+    want = (y @ y.T >= 0.93).sum() - len(y)
+    found = sum(r["n_links"] for r in pivots.links(df, 0.93).collect())
+    assert want > 900_000 and 0.98 * want <= found <= want
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
