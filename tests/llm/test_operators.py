@@ -330,6 +330,16 @@ def test_quality_keeps_good_documents_without_labels(spark):
     assert np.mean([found[i][0] for i in range(400, 800)]) > 0.95
 
 
+def test_quality_of_a_language_with_few_labels(spark):
+    r = random.Random(9)
+    rows = [(i, zipf_text(r, 40, 60, "w"), "en") for i in range(1300)] + [(i, zipf_text(r, 40, 4000, "v"), "es") for i in range(1300, 1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(1300), *range(1300, 1312)]], "doc_id long, quality int, toxic int")
+    assert 0 < quality.good_ids(labels.where("doc_id >= 1300"), held=True).count() < 4
+    found = by_id(quality.judge(df, labels), "kept")
+    assert np.mean([found[i][0] for i in range(1312, 1400)]) > 0.8
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_scoring(spark, docs, order):
     found = {r["doc_id"]: r for r in scoring.score_documents(docs, 7, 2, order=order).collect()}
