@@ -1,23 +1,25 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 Two small collections of sketches, each of a few minhashes, are made for every distinct shingle set; the key of table
-(i, j) is the pair of sketch i of the first collection and sketch j of the second. SIDE ** 2 tables thus need only
-2 * SIDE * ROWS minhashes. Documents that meet in a table are compared on their full sets.
+(i, j) is the pair of sketch i of the first collection and sketch j of the second. side ** 2 tables thus need only
+2 * side * ROWS minhashes. Documents that meet in a table are compared on their full sets.
 
 Equal sets are one class before any table is made, so a group of exact copies is one row. In a table, members are first
 compared with the least of their bucket and then with others, picked by hash for each bucket; what is linked counts as one
 component, and in the end all members of different components of a bucket are compared with each other. So a large group
 of near copies costs one comparison for each member, and no link between components is lost.
 
-A pair at a similarity of 0.85 is missed by all 64 tables with a probability of 0.001 (SIDE 8, ROWS 3), one at 0.9 with
-0.00006. Only documents that share a sketch of both collections with another one can meet in a table, so the others are
-set aside before the keys are formed. Null, empty or blank text has no set and links with nothing; a document of fewer words than
+The side follows from the wanted similarity: a pair just there is missed by all tables with a probability of at most MISSED
+(0.85: 8 sketches a side, 0.00098; 0.8: 11, 0.00075), more similar ones less often. Only documents that share a sketch of
+both collections with another one can meet in a table, so the others are set aside before the keys are formed. Null, empty or blank text has no set and links with nothing; a document of fewer words than
 a shingle is one shingle. Repeated ids: the copies of an id count as one document with the first of its sets. A null id
 is kept and links with nothing. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +30,17 @@ from driftloom.llm import text as tx
 from driftloom.llm.base import cut, query, table
 from driftloom.llm.components import components
 
-SIDE, ROWS = 8, 3
+ROWS, MISSED = 3, 0.001
 #: Rounds in which one member of each bucket, another one each time, is compared before all that are still apart.
 TURNS = 1
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, left array<long>, right array<long>"
 
 
+def side_of(percent: int) -> int:
+    """Sketches of a collection, so that a pair at this similarity is missed with a probability of at most MISSED."""
+    return max(1, math.ceil(math.log(MISSED / 2) / math.log1p(-(min(percent, 99) / 100) ** ROWS)))
+
+
 def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and shifts of n hash functions, the same in every run."""
     random = np.random.default_rng(20240229)
@@ -54,31 +61,31 @@ def shingle_sets(texts: pa.Array, size: int):
             yield np.empty(0, dtype=np.uint64)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, side: int) -> DataFrame:
     """doc_id, n_shingles, 128 bits of the set, and the two collections of sketches (empty without a set)."""
-    multiply, add = coefficients(2 * SIDE * ROWS)
+    multiply, add = coefficients(2 * side * ROWS)
 
     def sign(batches):
         for batch in tx.parts(batches):
             counts, digest, sketches, sizes = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 counts.append(len(s))
-                sizes.append(SIDE if len(s) else 0)
+                sizes.append(side if len(s) else 0)
                 digest.append((int(s.sum()) & (2**64 - 1), int(tx.mixed(s).sum()) & (2**64 - 1)) if len(s) else (0, 0))
                 if len(s):
                     low = np.full(len(multiply), np.iinfo(np.uint64).max, dtype=np.uint64)
                     for i in range(0, len(s), 2048):
                         v = (s[i:i + 2048, None] * multiply + add)
                         np.minimum(low, v.min(axis=0), out=low)
-                    low = tx.mixed(low).reshape(2 * SIDE, ROWS)
+                    low = tx.mixed(low).reshape(2 * side, ROWS)
                     sketches.append(tx.mixed(low[:, 0] * tx.GRAM + low[:, 1] * tx.BASE + low[:, 2:].sum(axis=1)))
-            flat = np.concatenate([np.empty(0, dtype=np.uint64), *sketches]).reshape(-1, 2 * SIDE).view(np.int64)
+            flat = np.concatenate([np.empty(0, dtype=np.uint64), *sketches]).reshape(-1, 2 * side).view(np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             d = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat[:, :SIDE].ravel())),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat[:, SIDE:].ravel()))],
+                 pa.ListArray.from_arrays(offsets, pa.array(flat[:, :side].ravel())),
+                 pa.ListArray.from_arrays(offsets, pa.array(flat[:, side:].ravel()))],
                 names=["doc_id", "n_shingles", "s1", "s2", "left", "right"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -117,7 +124,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
-    signed = cut(signatures(docs, size), "signatures")
+    signed = cut(signatures(docs, size, side_of(percent)), "signatures")
     alike = ["n_shingles", "s1", "s2"]
     known = signed.where("doc_id is not null and n_shingles > 0")
     classes = cut(known.groupBy(*alike).agg(F.min(F.struct("doc_id", "left", "right")).alias("x"))

@@ -383,6 +383,13 @@ def test_minhash(spark, docs):
     assert minhash.groups(frame(spark, []), 3, 85).count() == 0
 
 
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_minhash_misses_few_pairs_at_the_wanted_similarity(spark, size, percent):
+    row = minhash.signatures(frame(spark, [(1, "a b c d e f")], False), size, minhash.side_of(percent)).first()
+    one = 1 - (percent / 100) ** minhash.ROWS
+    assert len(row["left"]) == len(row["right"]) and 1 - (1 - one ** len(row["left"])) ** 2 <= 0.001
+
+
 def test_near_copies_of_one_document_are_one_group(spark):
     r = random.Random(9)
     base = [f"v{i}" for i in range(120)]
