@@ -258,12 +258,14 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
 def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Network:
     """Fit to the bounded sample of labelled rows outside the held-out fold."""
     open_rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held)
+        "doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held).distinct()
     chosen = [open_rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE * (1 if y else 2)) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # 3 * SAMPLE ids at most
-    rows = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    # 3 * SAMPLE ids at most, and one text for each: that with the least hash
+    labelled = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
+    one = labelled.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    rows = one.select("doc_id", "x.text", "toxic").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy() == 1)
 

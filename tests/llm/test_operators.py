@@ -292,6 +292,20 @@ def test_toxicity_frames(spark, docs):
     assert toxicity.accepted(docs, labels.where("toxic = 0")).count() == len(ROWS)
 
 
+def test_toxicity_is_fitted_to_one_text_for_each_labelled_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic.tolist())))
+    monkeypatch.setattr(toxicity, "SAMPLE", 2)
+    docs = frame(spark, [(i, f"text {i} {k}") for i in range(9) for k in range(40 if i == 3 else 1)], False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9) for _ in range(7)], "doc_id long, toxic int")
+    toxicity.fit_on(docs, labels, held=-1)
+    toxicity.fit_on(docs.repartition(5), labels, held=-1)
+    (texts, toxic), again = seen
+    assert again == (texts, toxic) and len({t.split()[1] for t in texts}) == len(texts) == 6 and sum(toxic) == 2
+    everything = toxicity.fit_on(docs.where("doc_id = 3"), labels.where("doc_id = 3"), held=-1)
+    assert everything is None and len(seen[-1][0]) == 1
+
+
 def test_quality(spark, docs):
     r = random.Random(4)
     grammar = [["the", "a"], ["red", "old", "small"], ["dog", "tree", "house"], ["sees", "has"], ["the", "a"], ["ball", "road"]]
