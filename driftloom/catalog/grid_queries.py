@@ -1,4 +1,5 @@
-"""Whole runs: every kind of model on one stream, on a slice of it, and the metrics rows of the grid."""
+"""Whole runs: majority, accumulative, fading and informed models (not the enhanced kind) on one stream, on a slice of it, and the
+metrics rows of the grid."""
 
 from __future__ import annotations
 
