@@ -100,3 +100,25 @@ scored AS (
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(min(total) AS BIGINT) AS train_tokens,
   round(sum(log10(share)), 6) AS base_score, round(sum(log10((arc + {strength} * share) / (state + {strength}))), 6) AS score
 FROM scored GROUP BY doc_id, held_out"""
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT lang, unnest(pieces) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents)),
+spans AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, w[p:p + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM spans, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, g, f AS a, unnest(range(1, k)) AS c FROM frequent),
+valued AS (
+  SELECT x.*, l.f AS l, r.f AS r, CAST((1000000 * CAST(x.a AS HUGEINT) * x.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts x JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(x.g[1:x.c], ' ')
+  JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(x.g[x.c + 1:x.k], ' ')),
+least AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, unnest([array_to_string(g[1:2], ' '), array_to_string(g[2:3], ' ')]) AS phrase, f FROM frequent WHERE k = 3),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+left_over AS (SELECT x.* FROM least x LEFT JOIN longer y ON x.k = 2 AND y.lang = x.lang AND y.phrase = x.phrase WHERE y.f IS NULL OR 100 * y.f < 50 * x.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM left_over JOIN totals USING (lang) QUALIFY rank <= 2000"""
