@@ -39,7 +39,9 @@ from driftloom.llm.base import bit_set, cut, query, table
 U64 = np.uint64
 LEAST, COVER, TOP = 10, 50, 2000
 #: Words of a block, about; bits of the sets of frequent words and pairs, and of wanted documents and places.
-TOKENS, WORD_BITS, PAIR_BITS, PLACE_BITS = 2_000_000, 26, 27, 26
+TOKENS, WORD_BITS, PAIR_BITS, PLACE_BITS = 1_000_000, 26, 27, 26
+#: Rows of one batch sent back.
+ROWS = 50_000
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[ord(c) for c in ".,;:!?"]] = BREAKS[0x0A:0x0E] = True
 INSIDE = ~BREAKS
@@ -119,13 +121,16 @@ def read(batch: pa.RecordBatch, salt: int, langs: dict[str, int]) -> Piecewise:
 
 def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """First place and count of each distinct row of the columns."""
-    key = columns[0] if len(columns) == 1 else None
-    if key is None:
-        key = np.zeros(len(columns[0]), dtype=U64)
-        for c in columns:
-            key = tx.mixed(key * tx.GRAM + c.astype(U64))
-    _, at, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    if any((c[at][back] != c).any() for c in columns):
+    key = np.zeros(len(columns[0]), dtype=U64)
+    for c in columns:
+        key = tx.mixed(key * tx.GRAM + c.astype(U64))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begins = np.ones(len(key), dtype=bool)
+    begins[1:] = key[1:] != key[:-1]
+    edge = np.flatnonzero(begins)
+    at, n = order[edge], np.diff(np.append(edge, len(key)))
+    if any((c[order][1:] != c[order][:-1])[~begins[1:]].any() for c in columns):
         # the mixed key is not enough: by the rows themselves
         _, at, n = np.unique(np.stack([c.astype(U64) for c in columns], axis=1), axis=0, return_index=True, return_counts=True)
     return at, n
@@ -153,6 +158,12 @@ def named(number: np.ndarray, langs: list[str]) -> pa.Array:
     return pa.array(langs, pa.string()).take(pa.array(number))
 
 
+def sent(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
+
+
 def word_counts(docs: DataFrame, salt: int, least: int) -> DataFrame:
     """lang, h, n, c1, c2 (least and greatest second fingerprint) of words that are frequent or clash; h is null in the row
     of all words of a language."""
@@ -164,7 +175,7 @@ def word_counts(docs: DataFrame, salt: int, least: int) -> DataFrame:
             empty = pa.nulls(len(total), pa.int64())
             for some in ([named(lang[at], langs), signed(h[at]), pa.array(n.astype(np.int64)), signed(c[at])],
                          [pa.array(langs, pa.string()), empty, pa.array(total.astype(np.int64)), empty]):
-                yield pa.RecordBatch.from_arrays(some, names=["lang", "h", "n", "c"])
+                yield from sent(some, ["lang", "h", "n", "c"])
 
     rows = docs.mapInArrow(count, "lang string, h long, n long, c long").groupBy("lang", "h")
     return rows.agg(F.sum("n").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(
@@ -188,8 +199,8 @@ def phrase_counts(docs: DataFrame, n: int, salt: int, least: int, known) -> Data
     def count(batches):
         for (lang, doc, *columns), langs in blocks(batches, salt, take):
             at, times = distinct([*columns, lang.astype(U64)])
-            yield pa.RecordBatch.from_arrays(
-                [named(lang[at], langs), *[signed(c[at]) for c in columns], pa.array(times.astype(np.int64)), pa.array(doc[at])], names=["lang", *key, "n", "doc"])
+            yield from sent([named(lang[at], langs), *[signed(c[at]) for c in columns], pa.array(times.astype(np.int64)), pa.array(doc[at])],
+                            ["lang", *key, "n", "doc"])
 
     rows = docs.mapInArrow(count, "lang string, " + ", ".join(f"{k} long" for k in key) + ", n long, doc long")
     return rows.groupBy("lang", *key).agg(F.sum("n").alias("a"), F.min("doc").alias("d1"), F.max("doc").alias("d2")).where(F.col("a") >= least)
