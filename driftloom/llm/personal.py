@@ -486,5 +486,5 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), F.array_position(
         F.array(*[F.lit(k) for k in KINDS]), x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(both).alias("spans"), F.size("added").cast("long").alias("n_added"))
