@@ -33,7 +33,7 @@ from driftloom.llm.base import query, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, CONTEXT, EXAMPLES, PRECISION = 1500, 4000, 2000, 0.99
-ROUNDS, DEPTH, BINS, RATE = 40, 4, 32, 0.25
+ROUNDS, DEPTH, BINS, RATE = 60, 4, 32, 0.3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -159,12 +159,12 @@ def around(kind: str, text: str, start: int, end: int) -> list[float]:
     before, after = text[start - 1:start], text[end:end + 1]
     left = text[max(0, start - 40):start]
     words = [w.lower().strip(".-") for w in WORD.findall(left)[-3:]]
-    near = left[-20:] + text[end:end + 20]
     return [
         before.isalpha(), before.isdigit(), before in tuple("#$\u20ac\u00a3") and bool(before), before in tuple(".,-/:_=") and bool(before), not before or before.isspace(),
         after.isalpha(), after.isdigit(), after in tuple("%\u20ac$\u00b0") and bool(after), after in tuple("-/:_@=") and bool(after),
         text[end:end + 2][:1] in (".", ",") and text[end + 1:end + 2].isalnum(),
-        any(w in CUES[kind] for w in words), any(w in LOOKALIKE for w in words), sum(c.isdigit() for c in near) / 40,
+        any(w in CUES[kind] for w in words), any(w in LOOKALIKE for w in words),
+        text[start - 2:start][:1].isdigit() and start > 1, text[end + 1:end + 2].isdigit(),
     ]
 
 
@@ -344,7 +344,8 @@ def planted(r, kind: str, word) -> tuple[str, str, str]:
         return before, span, pick(r, ["", "", ".", " " + card_number(r)])
     area, mid, end = digits_of(r, 3), digits_of(r, 3), digits_of(r, 4)
     span = pick(r, [f"({area}) {mid}-{end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"+{r.integers(1, 99)} {area} {mid}{end}", f"+1 ({area}) {mid}-{end}", f"00{r.integers(30, 60)} {area} {mid} {end}",
-                    f"0{area[:2]}/{mid}{end}", f"0{area} {mid}{end}", f"1-{area}-{mid}-{end}", f"+{r.integers(30, 60)}\u00a0{area}\u00a0{mid}\u00a0{end}", f"+{r.integers(30, 60)}/{area}/{mid}{end}", f"({area}) {mid} {end}"])
+                    f"0{area[:2]}/{mid}{end}", f"0{area} {mid}{end}", f"1-{area}-{mid}-{end}", f"+{r.integers(30, 60)}\u00a0{area}\u00a0{mid}\u00a0{end}", f"+{r.integers(30, 60)}/{area}/{mid}{end}", f"({area}) {mid} {end}",
+                    f"+{r.integers(30, 60)} (0){area[:2]} {mid} {end}", f"00{r.integers(30, 60)} {area[:2]} {mid}{end[:3]} {end[2:]}"])
     return pick(r, ["", "", "tel ", "call ", "phone: "]), span, pick(r, ["", "", ".", ","])
 
 
@@ -379,6 +380,10 @@ def examples(texts: list[str], count: int, seed: int = 11) -> dict[str, tuple[np
             at += 1
         left, right = text[max(0, at - 80):at], text[at:at + 80]
         kind = KINDS[n % 5] if n % 5 < len(KINDS) else None
+        if r.random() < 0.3:  # other numbers and addresses close by
+            left += " " + "".join(planted(r, pick(r, KINDS), word)) + " " + word()
+        if r.random() < 0.3:
+            right = " " + word() + " " + "".join(planted(r, pick(r, KINDS), word)) + " " + right
         before, span, after = planted(r, kind, word) if kind else (*lookalike(r, word), pick(r, ["", "", ".", ",", "%"]))
         head = left + ("" if not left or left[-1].isspace() else " ") + before
         whole = head + span + after + ("" if not right or right[0].isspace() else " ") + right
