@@ -112,8 +112,7 @@ def _(spark, d):
 def _norms(inst, segments):
     """The class normalisers themselves, before every row."""
     docs = cut(bayes.document_terms(inst, *bayes.prepare(inst, segments), EVENT_BLOCK), "terms")
-    gain = [F.when(F.col("label") == c, F.col("gain")).otherwise(0.0) for c in (0, 1)]
-    return running(docs, ["stream", "seed", "seg"], "idx", "blk", decayed={"norm0": gain[0], "norm1": gain[1]},
+    return running(docs, ["stream", "seed", "seg"], "idx", "blk", decayed={"norm0": F.col("gain0"), "norm1": F.col("gain1")},
                    age=F.expr("lam * (t - origin)"))
 
 

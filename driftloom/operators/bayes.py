@@ -7,21 +7,28 @@ row b, with ageing rate lam and smoothing alpha. A stable model is one segment;
 or a rebuild starts the next one.
 
     instances  stream, seed, idx, t, label, bag      (a table: it is read more than once)
-    segments   stream, seed, b, lam, alpha, lo, hi
+    segments   stream, seed, b, lam, alpha, lo, hi, and `since` where rows b..since-1 are in a carried state
 
 Ageing weighs a count by the time since its *last* sight, so the normaliser of a class is a sum
-over its whole vocabulary. It is kept as a decayed running sum of per-row changes.
+over its whole vocabulary. It is kept as a decayed running sum of per-row changes. That sum depends
+on the start b and the rate, not on where a segment begins, so all segments of one start, rate and
+smoothing are one *track* over the rows from b on, and a model that changes its rate picks its rows
+from several tracks. A `State` holds what the rows up to a cut have taught (counts and last times of
+every word and class); a run can start from one and reads the rows behind the cut only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators.prefix import BLOCK_ROWS, block_of, blocks_between, running
 from driftloom.session import cut
 
 STREAM = ["stream", "seed"]
+START = [*STREAM, "b", "since"]
 # Scores closer than rounding noise are a tie, and a tie is class 0. Without the margin the
 # order of a distributed sum could decide an exact tie.
 TIE_ABSOLUTE = 1e-9
@@ -43,76 +50,100 @@ def majority(instances: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def segment_id() -> Column:
-    return F.xxhash64("b", "lam", "alpha", "lo")
+    return F.xxhash64("b", "since", "lam", "alpha")
+
+
+@dataclass
+class State:
+    """What rows b..since-1 have taught, by (stream, seed, b, since).
+
+    words  word, m0, m1 (count per class), u0, u1 (last time per class)
+    docs   n0, n1 (rows per class), t0, t1 (last time per class)
+    """
+
+    words: DataFrame
+    docs: DataFrame
 
 
-def word_state(instances: DataFrame, starts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_since(table: DataFrame) -> DataFrame:
+    return table if "since" in table.columns else table.withColumn("since", F.col("b"))
+
+
+def _word_rows(instances: DataFrame, starts: DataFrame, block_rows: int, carried: State | None) -> DataFrame:
+    """Words of the rows since..end with their part of the counts (a0, a1) and times (x0, x1), and the carried ones
+    as rows without a label just before."""
+    words = _trained(instances, starts, block_rows).select(*START, "blk", "idx", "t", "label", F.inline("bag")).select(
+        *START, "blk", "idx", "t", "label", "word", "k",
+        *[of_class(c, F.col("k")).alias(f"a{c}") for c in (0, 1)], *[of_class(c, F.col("t")).alias(f"x{c}") for c in (0, 1)])
+    if carried is None:
+        return words
+    before = F.col("since") - 1
+    known = carried.words.join(starts.select(*START), START).select(
+        *START, block_of(before, block_rows).alias("blk"), before.alias("idx"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("int").alias("label"),
+        "word", F.lit(None).cast("long").alias("k"), *[F.col(f"m{c}").alias(f"a{c}") for c in (0, 1)], *[F.col(f"u{c}").alias(f"x{c}") for c in (0, 1)])
+    return words.unionByName(known)
+
+
+def word_state(instances: DataFrame, starts: DataFrame, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> DataFrame:
     """Counts and last times of each row's words just before the row.
 
-    `starts` holds one row per (stream, seed, b) with `end`, the last row that needs it. Adds
-    m0, m1 (count per class) and u0, u1 (last time per class) to (.., b, word, idx, t, label, k).
+    `starts` holds one row per (stream, seed, b, since) with `end`, the last row that needs it. Adds
+    m0, m1 (count per class) and u0, u1 (last time per class) to (.., b, since, word, idx, t, label, k).
     """
-    words = _trained(instances, starts, block_rows).select(
-        *STREAM, "b", "blk", "idx", "t", "label", F.inline("bag"))
-    return running(
-        words, [*STREAM, "b", "word"], "idx", "blk",
-        sums={"m0": of_class(0, F.col("k")), "m1": of_class(1, F.col("k"))},
-        maxes={"u0": of_class(0, F.col("t")), "u1": of_class(1, F.col("t"))},
-    )
+    words = _word_rows(instances, with_since(starts), block_rows, carried)
+    state = running(
+        words, [*START, "word"], "idx", "blk",
+        sums={f"m{c}": F.col(f"a{c}") for c in (0, 1)}, maxes={f"u{c}": F.col(f"x{c}") for c in (0, 1)})
+    return state.where("label is not null").drop("a0", "a1", "x0", "x1")
 
 
-def score(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Score every row of every segment from the state before it.
+def state_at(instances: DataFrame, cuts: DataFrame, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> State:
+    """States behind row `end` of each (stream, seed, b, since) of `cuts`, as two tables; their `since` is end + 1."""
+    key = [*STREAM, "b", (F.col("end") + 1).alias("since")]
+    words = _word_rows(instances, cuts, block_rows, carried).join(cuts, START).groupBy(*key, "word").agg(
+        *[F.coalesce(F.sum(f"a{c}"), F.lit(0)).alias(f"m{c}") for c in (0, 1)], *[F.max(f"x{c}").alias(f"u{c}") for c in (0, 1)])
+    rows = _trained(instances, cuts, block_rows).select(
+        *START, "end", *[of_class(c, F.lit(1)).cast("long").alias(f"n{c}") for c in (0, 1)], *[of_class(c, F.col("t")).alias(f"t{c}") for c in (0, 1)])
+    if carried is not None:
+        rows = rows.unionByName(carried.docs.join(cuts, START).select(*rows.columns))
+    docs = rows.groupBy(*key).agg(
+        *[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"n{c}") for c in (0, 1)], *[F.max(f"t{c}").alias(f"t{c}") for c in (0, 1)])
+    return State(cut(words, "state-words"), cut(docs, "state-docs"))
 
-    Returns stream, seed, seg, idx, label, t, lam, n0, n1, vocab, entries, new_entries, s0, s1,
+
+def score(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> DataFrame:
+    """Score the rows of every track from the state before them.
+
+    Returns stream, seed, seg, blk, idx, label, t, lam, n0, n1, vocab, entries, new_entries, s0, s1,
     pred, where s0 and s1 are ln N_c - lam (t - T_c) + sum of k (ln(aged count + alpha) -
-    ln(normaliser)).
+    ln(normaliser)); from the first row that a segment of the track wants on.
     """
-    prepared = prepare(instances, segments)
-    docs = cut(document_terms(instances, *prepared, block_rows), "terms")
+    tracks, starts = prepare(instances, segments)
+    docs = cut(document_terms(instances, tracks, starts, block_rows, carried), "terms")
     state = running(
         docs, [*STREAM, "seg"], "idx", "blk",
-        sums={
-            "r_n0": F.expr("if(label = 0, 1, 0)"), "r_n1": F.expr("if(label = 1, 1, 0)"),
-            "r_vocab": F.col("new_words"), "r_entries": F.col("new_entries"),
-        },
-        maxes={"r_t0": F.expr("if(label = 0, t, null)"), "r_t1": F.expr("if(label = 1, t, null)")},
-        decayed={"r_s0": F.expr("if(label = 0, gain, 0D)"), "r_s1": F.expr("if(label = 1, gain, 0D)")},
-        age=F.expr("lam * (t - origin)"),
-    )
-    merged, _ = prepared
-    if merged.where("lo > b").limit(1).count():
-        # One row per segment, as a table: the rows of a segment must not meet in one task.
-        state = state.join(cut(_inherited(instances, *prepared, block_rows), "base"), [*STREAM, "seg"], "left")
-    else:
-        state = state.selectExpr("*", *[
-            f"cast(null as {kind}) as b_{name}" for name, kind in (
-                ("n0", "long"), ("n1", "long"), ("t0", "double"), ("t1", "double"), ("s0", "double"),
-                ("s1", "double"), ("vocab", "long"), ("entries", "long"))])
-
-    fade = "exp(-lam * (t - origin))"
-    full = state.selectExpr(
-        *STREAM, "seg", "idx", "label", "t", "lam", "alpha", "known", "term0", "term1", "new_entries",
-        *[f"r_{x} + coalesce(b_{x}, 0) as {x}" for x in ("n0", "n1", "vocab", "entries")],
-        *[f"coalesce(r_t{c}, b_t{c}) as last{c}" for c in (0, 1)],
-        *[f"greatest(r_s{c} + coalesce(b_s{c}, 0D) * {fade}, 0D) as norm{c}" for c in (0, 1)])
+        sums={**{f"n{c}": F.col(f"one{c}") for c in (0, 1)}, "vocab": F.col("new_words"), "entries": F.col("new_entries")},
+        maxes={f"last{c}": F.col(f"x{c}") for c in (0, 1)}, decayed={f"r{c}": F.col(f"gain{c}") for c in (0, 1)},
+        age=F.expr("lam * (t - origin)")).where("label is not null and idx >= first")
+    full = state.selectExpr("*", *[f"greatest(r{c}, 0D) as norm{c}" for c in (0, 1)])
     scored = full.selectExpr("*", *[
         f"ln(n{c}) - lam * (t - last{c}) + "
         f"if(known > 0, term{c} - known * ln(norm{c} + alpha * vocab), 0D) as s{c}" for c in (0, 1)])
     margin = f"{TIE_ABSOLUTE}D + {TIE_RELATIVE}D * (abs(s0) + abs(s1))"
     return scored.selectExpr(
-        *STREAM, "seg", "idx", "label", "t", "lam", "n0", "n1", "vocab", "entries", "new_entries",
+        *STREAM, "seg", "blk", "idx", "label", "t", "lam", "n0", "n1", "vocab", "entries", "new_entries",
         "s0", "s1", f"cast(if(n0 > 0 and n1 > 0, s1 - s0 > {margin}, n1 > n0) as int) as pred")
 
 
-def predict(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Score the segments of several models; equal segments are scored once.
+def predict(instances: DataFrame, segments: DataFrame, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> DataFrame:
+    """Score the segments of several models; equal tracks are scored once.
 
     `segments` also carries `model`. Returns one row per (stream, seed, model, idx).
     """
-    scored = score(instances, segments, block_rows)
-    owners = segments.select(*STREAM, "model", segment_id().alias("seg"), "hi")
-    return scored.join(owners, [*STREAM, "seg"]).where("idx <= hi").drop("hi")
+    segments = with_since(segments)
+    scored = score(instances, segments, block_rows, carried)
+    owners = blocks_between(segments.select(*STREAM, "model", segment_id().alias("seg"), "lo", "hi"), "lo", "hi", block_rows)
+    return scored.join(owners, [*STREAM, "seg", "blk"]).where("idx between lo and hi").drop("lo", "hi", "blk")
 
 
 def whole_stream(instances: DataFrame, specs: DataFrame) -> DataFrame:
@@ -128,102 +159,64 @@ def whole_stream(instances: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def _trained(instances: DataFrame, starts: DataFrame, block_rows: int) -> DataFrame:
-    """Rows joined to every training start that covers them."""
+    """Rows joined to every start that reads them."""
     rows = instances.withColumn("blk", block_of(F.col("idx"), block_rows))
-    return rows.join(blocks_between(starts, "b", "end", block_rows), [*STREAM, "blk"]).where(
-        "idx between b and end")
+    return rows.join(blocks_between(starts, "since", "end", block_rows), [*STREAM, "blk"]).where(
+        "idx between since and end")
 
 
 def prepare(instances: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two control tables: segments without the model (equal ones once), and training starts.
+    """Two control tables: tracks, and the starts that they need.
+
+    A track has `first`, the first row to be scored, `end`, the last one, and `origin`, the time of its first row read, as
+    zero of its age axis.
+    """
+    begin = instances.select(*STREAM, F.col("idx").alias("since"), F.col("t").alias("origin"))
+    tracks = cut(
+        with_since(segments).groupBy(*START, "lam", "alpha").agg(F.min("lo").alias("first"), F.max("hi").alias("end"))
+        .withColumn("seg", segment_id()).join(begin, [*STREAM, "since"]), "tracks")
+    return tracks, cut(tracks.groupBy(*START).agg(F.max("end").alias("end")), "starts")
+
 
-    A segment gets `origin`, the time of its first row, as zero of its age axis. A start
-    carries `end`, its last row, and `los`, the later first rows of its segments.
+def document_terms(instances, tracks, starts, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> DataFrame:
+    """Per (track, row): score terms, known tokens, new words and entries, and what the row adds to the state.
+
+    A carried state is a row without a label before the first one.
     """
-    first = instances.select(*STREAM, F.col("idx").alias("lo"), F.col("t").alias("origin"))
-    merged = cut(
-        segments.groupBy(*STREAM, "b", "lam", "alpha", "lo").agg(F.max("hi").alias("hi"))
-        .withColumn("seg", segment_id()).join(first, [*STREAM, "lo"]), "segments")
-    starts = cut(
-        merged.groupBy(*STREAM, "b")
-        .agg(F.max("hi").alias("end"), F.array_sort(F.collect_set("lo")).alias("los"))
-        .withColumn("los", F.filter("los", lambda lo: lo > F.col("b"))), "starts")
-    return merged, starts
-
-
-def document_terms(instances, merged, starts, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per (segment, row): score terms, known tokens, new words and the normaliser gain."""
-    spans = blocks_between(merged, "lo", "hi", block_rows)
-    hits = word_state(instances, starts, block_rows).join(spans, [*STREAM, "b", "blk"]).where(
-        "idx between lo and hi")
-    key = [*STREAM, "seg", "lam", "alpha", "origin", "blk", "idx", "t", "label"]
+    spans = blocks_between(tracks, "since", "end", block_rows)
+    hits = word_state(instances, starts, block_rows, carried).join(spans, [*START, "blk"]).where("idx <= end")
+    key = [*STREAM, "seg", "lam", "alpha", "origin", "first", "blk", "idx", "t", "label"]
     staged = hits.selectExpr(
         *key, "k", "m0 + m1 > 0 as is_known", "if(label = 0, m0, m1) as own",
         *[f"coalesce(m{c} * exp(-lam * (t - u{c})), 0D) as aged{c}" for c in (0, 1)])
     words = staged.selectExpr(
         *key,
-        *[f"if(is_known, k * ln(aged{c} + alpha), 0D) as term{c}" for c in (0, 1)],
+        *[f"if(is_known and idx >= first, k * ln(aged{c} + alpha), 0D) as term{c}" for c in (0, 1)],
         "if(is_known, k, 0L) as known", "if(is_known, 0, 1) as new_words",
         "if(own = 0, 1, 0) as new_entries", "own + k - if(label = 0, aged0, aged1) as gain")
     # Rows without tokens must stay, so every row adds an empty contribution of its own.
     rows = instances.select(*STREAM, "idx", "t", "label").withColumn(
         "blk", block_of(F.col("idx"), block_rows))
-    empty = rows.join(spans, [*STREAM, "blk"]).where("idx between lo and hi").selectExpr(
+    empty = rows.join(spans, [*STREAM, "blk"]).where("idx between since and end").selectExpr(
         *key, "0D as term0", "0D as term1", "0L as known", "0 as new_words", "0 as new_entries", "0D as gain")
-    return words.unionByName(empty).groupBy(*key).agg(
-        *[F.sum(c).alias(c) for c in
-          ("term0", "term1", "known", "new_words", "new_entries", "gain")])
-
-
-def _inherited(instances, merged, starts, block_rows) -> DataFrame:
-    """State that a segment starts from: everything learned on rows b..lo-1.
-
-    Each training start has a few cut points (the first rows of its segments). Words are
-    summed per (word, part between cuts), accumulated over the parts, and a word's state is
-    passed to each later cut until the word is seen again.
-    """
-    later = starts.where(F.size("los") > 0).withColumn("end", F.element_at("los", -1) - 1)
-    rows = _trained(instances, later, block_rows).withColumn(
-        "part", F.size(F.filter("los", lambda lo: lo <= F.col("idx"))))
-
-    by_class = [
-        *[F.sum(F.when(F.col("label") == c, F.col("k")).otherwise(0)).alias(f"n{c}") for c in (0, 1)],
-        *[F.max(of_class(c, F.col("t"))).alias(f"t{c}") for c in (0, 1)],
-    ]
-
-    def accumulate(df: DataFrame, keys: list[str]) -> DataFrame:
-        """Running state at every cut after the part, up to the next part that changes it."""
-        order = Window.partitionBy(*keys).orderBy("part")
-        upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        state = df.select(
-            *keys, "part", "los",
-            *[F.sum(f"n{c}").over(upto).alias(f"n{c}") for c in (0, 1)],
-            *[F.max(f"t{c}").over(upto).alias(f"t{c}") for c in (0, 1)],
-            F.coalesce(F.lead("part").over(order), F.size("los")).alias("until"),
-        )
-        return state.withColumn("cut", F.explode(F.sequence(F.col("part") + 1, F.col("until")))) \
-            .withColumn("lo", F.element_at("los", F.col("cut"))).drop("los")
-
-    words = rows.select(*STREAM, "b", "part", "label", "t", "los", F.inline("bag"))
-    word_parts = words.groupBy(*STREAM, "b", "word", "part").agg(*by_class, F.first("los").alias("los"))
-    live_words = accumulate(word_parts, [*STREAM, "b", "word"])
-    docs = rows.withColumn("k", F.lit(1)).groupBy(*STREAM, "b", "part").agg(
-        *by_class, F.first("los").alias("los"))
-    live_docs = accumulate(docs, [*STREAM, "b"])
-
-    targets = merged.where("lo > b")
-    keys = [*STREAM, "b", "lo"]
-
-    def aged(c: int) -> Column:
-        return F.coalesce(
-            F.col(f"n{c}") * F.exp(-F.col("lam") * (F.col("origin") - F.col(f"t{c}"))), F.lit(0.0))
-
-    of_words = live_words.join(targets, keys).groupBy(*STREAM, "seg").agg(
-        F.count(F.lit(1)).alias("b_vocab"),
-        F.sum((F.col("n0") > 0).cast("long") + (F.col("n1") > 0).cast("long")).alias("b_entries"),
-        F.sum(aged(0)).alias("b_s0"), F.sum(aged(1)).alias("b_s1"),
-    )
-    of_docs = live_docs.join(targets, keys).select(
-        *STREAM, "seg", F.col("n0").alias("b_n0"), F.col("n1").alias("b_n1"),
-        F.col("t0").alias("b_t0"), F.col("t1").alias("b_t1"))
-    return of_docs.join(of_words, [*STREAM, "seg"], "left")
+    terms = ("term0", "term1", "known", "new_words", "new_entries")
+    summed = words.unionByName(empty).groupBy(*key).agg(*[F.sum(c).alias(c) for c in (*terms, "gain")]).selectExpr(
+        *key, *terms, *[f"if(label = {c}, 1L, 0L) as one{c}" for c in (0, 1)], *[f"if(label = {c}, t, null) as x{c}" for c in (0, 1)],
+        *[f"if(label = {c}, gain, 0D) as gain{c}" for c in (0, 1)])
+    return summed if carried is None else summed.unionByName(_carried_rows(tracks, carried, block_rows).select(*summed.columns))
+
+
+def _carried_rows(tracks: DataFrame, carried: State, block_rows: int) -> DataFrame:
+    """The carried state of each track: what its words weigh at the origin under the track's rate."""
+    key = [*STREAM, "seg", "lam", "alpha", "origin", "first", "since"]
+    of_words = carried.words.join(tracks, START).groupBy(*STREAM, "seg").agg(
+        F.count(F.lit(1)).alias("new_words"), F.sum(F.expr("if(m0 > 0, 1, 0) + if(m1 > 0, 1, 0)")).alias("new_entries"),
+        *[F.sum(F.expr(f"coalesce(m{c} * exp(-lam * (origin - u{c})), 0D)")).alias(f"gain{c}") for c in (0, 1)])
+    rows = carried.docs.join(tracks, START).select(*key, "n0", "n1", "t0", "t1").join(of_words, [*STREAM, "seg"], "left")
+    before = F.col("since") - 1
+    return rows.select(
+        *key, before.alias("idx"), block_of(before, block_rows).alias("blk"), F.col("origin").alias("t"), F.lit(None).cast("int").alias("label"),
+        *[F.lit(0.0).alias(f"term{c}") for c in (0, 1)], F.lit(0).cast("long").alias("known"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("new_words", "new_entries")],
+        *[F.col(f"n{c}").alias(f"one{c}") for c in (0, 1)], *[F.col(f"t{c}").alias(f"x{c}") for c in (0, 1)],
+        *[F.coalesce(f"gain{c}", F.lit(0.0)).alias(f"gain{c}") for c in (0, 1)])
