@@ -72,14 +72,14 @@ def with_since(table: DataFrame) -> DataFrame:
 def _word_rows(instances: DataFrame, starts: DataFrame, block_rows: int, carried: State | None) -> DataFrame:
     """Words of the rows since..end with their part of the counts (a0, a1) and times (x0, x1), and the carried ones
     as rows without a label just before."""
-    words = _trained(instances, starts, block_rows).select(*START, "blk", "idx", "t", "label", F.inline("bag")).select(
-        *START, "blk", "idx", "t", "label", "word", "k",
+    words = _trained(instances, starts, block_rows).select(*START, "end", "blk", "idx", "t", "label", F.inline("bag")).select(
+        *START, "end", "blk", "idx", "t", "label", "word", "k",
         *[of_class(c, F.col("k")).alias(f"a{c}") for c in (0, 1)], *[of_class(c, F.col("t")).alias(f"x{c}") for c in (0, 1)])
     if carried is None:
         return words
     before = F.col("since") - 1
-    known = carried.words.join(starts.select(*START), START).select(
-        *START, block_of(before, block_rows).alias("blk"), before.alias("idx"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("int").alias("label"),
+    known = carried.words.join(starts.select(*START, "end"), START).select(
+        *START, "end", block_of(before, block_rows).alias("blk"), before.alias("idx"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("int").alias("label"),
         "word", F.lit(None).cast("long").alias("k"), *[F.col(f"m{c}").alias(f"a{c}") for c in (0, 1)], *[F.col(f"u{c}").alias(f"x{c}") for c in (0, 1)])
     return words.unionByName(known)
 
@@ -94,13 +94,13 @@ def word_state(instances: DataFrame, starts: DataFrame, block_rows: int = BLOCK_
     state = running(
         words, [*START, "word"], "idx", "blk",
         sums={f"m{c}": F.col(f"a{c}") for c in (0, 1)}, maxes={f"u{c}": F.col(f"x{c}") for c in (0, 1)})
-    return state.where("label is not null").drop("a0", "a1", "x0", "x1")
+    return state.where("label is not null").drop("a0", "a1", "x0", "x1", "end")
 
 
 def state_at(instances: DataFrame, cuts: DataFrame, block_rows: int = BLOCK_ROWS, carried: State | None = None) -> State:
     """States behind row `end` of each (stream, seed, b, since) of `cuts`, as two tables; their `since` is end + 1."""
     key = [*STREAM, "b", (F.col("end") + 1).alias("since")]
-    words = _word_rows(instances, cuts, block_rows, carried).join(cuts, START).groupBy(*key, "word").agg(
+    words = _word_rows(instances, cuts, block_rows, carried).groupBy(*key, "word").agg(
         *[F.coalesce(F.sum(f"a{c}"), F.lit(0)).alias(f"m{c}") for c in (0, 1)], *[F.max(f"x{c}").alias(f"u{c}") for c in (0, 1)])
     rows = _trained(instances, cuts, block_rows).select(
         *START, "end", *[of_class(c, F.lit(1)).cast("long").alias(f"n{c}") for c in (0, 1)], *[of_class(c, F.col("t")).alias(f"t{c}") for c in (0, 1)])

@@ -116,8 +116,7 @@ class Cell:
     def error(self, at: int, bit: int) -> None:
         """The error bit of the row at a position; comes before the check that ends there."""
         if self.fast is not None and at >= self.fast:
-            self.fast = None
-            self._show(at)
+            self.end_fast(at)
         if self.hears(ADWIN) and at >= self.spec["warmup_rows"] and self.window.update(bit):
             if self._decide(ADWIN, at, CHANGE, width=self.window.width, error_rate=round(self.window.mean, 4)) == CHANGE:
                 self.channels.rest(ADWIN, at)
@@ -127,6 +126,10 @@ class Cell:
                     self.fast = at + self.spec["w"]
                     self._show(at)
 
+    def end_fast(self, at: int) -> None:
+        self.fast = None
+        self._show(at)
+
     def check(self, at: int, kind: str, train_from) -> None:
         """A vocabulary check, at the last row of its window."""
         if not self.hears(VOCAB):

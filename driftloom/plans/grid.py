@@ -51,16 +51,20 @@ def predictions(instances: DataFrame, specs: DataFrame, block_rows: int = BLOCK_
         cells = specs.where("kind = 'majority'").select(*CELL)
         found.append(bayes.majority(instances, block_rows).join(cells, STREAM).select(
             *CELL, "idx", "label", "pred", F.lit(0.0).alias("lam"), F.lit(0).cast("long").alias("entries")))
+    # fixed and informed models are known before a row is scored: one pass over all their segments
+    segments = []
     if kinds & set(FIXED):
         cells = specs.where(F.col("kind").isin(*FIXED))
         ends = instances.groupBy(*STREAM).agg(F.max("idx").alias("hi"))
-        whole = cells.join(ends, STREAM).select(*CELL, F.lit(0).cast("long").alias("b"), "lam", "alpha", F.lit(0).cast("long").alias("lo"), "hi")
-        found.append(bayes.predict(instances, cut(whole, "segments"), block_rows).select(*PREDICTION[:-1], learned))
+        segments.append(cells.join(ends, STREAM).select(*CELL, F.lit(0).cast("long").alias("b"), "lam", "alpha", F.lit(0).cast("long").alias("lo"), "hi"))
     if "informed" in kinds:
-        scored, planned = informed.run(instances, cut(specs.where("kind = 'informed'"), "specs"), block_rows)
-        found.append(scored.select(*PREDICTION[:-1], learned))
+        planned = informed.plan(instances, cut(specs.where("kind = 'informed'"), "specs"))
+        segments.append(planned.segments)
         events.append(planned.events.select(*EVENT))
         rates.append(planned.rates.select(*CELL, "idx", "lam"))
+    if segments:
+        planned = cut(reduce(DataFrame.unionByName, segments), "segments")
+        found.append(bayes.predict(instances, planned, block_rows).select(*PREDICTION[:-1], learned))
     if "enhanced" in kinds:
         run = enhanced.run(instances, specs.where("kind = 'enhanced'"), block_rows)
         found.append(run.predictions.select(*PREDICTION[:-1], learned))
