@@ -105,9 +105,11 @@ def _(spark, d):
     return adwin.pack_errors(rows, ["stream", "seed"], specs.DEFAULTS["warmup_rows"]).select("word", "first", "size", "bits")
 
 
-@query("adw_error_rises")
+@query("adw_error_rises", sql.with_(
+    sql.events_rows(True), sql.whole_segments(("accumulative", 0.0, 1.0), ("fading", 0.2, 1.0)), sql.SCORED, sql.rises(), recursive=True)
+    + "SELECT 'events' AS stream, 0 AS seed, model, idx, width, error_rate FROM rises")
 def _(spark, d):
-    """Rises of the error rate of two models on the flipped stream (a sequential algorithm)."""
+    """Rises of the error rate of two models on the flipped stream."""
     inst = event_instances(spark, d, True)
     segments = fixed_models(spark, inst, ("accumulative", 0.0, 1.0), ("fading", 0.2, 1.0))
     predictions = cut(bayes.predict(inst, segments, EVENT_BLOCK), "predictions")

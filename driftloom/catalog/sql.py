@@ -197,3 +197,42 @@ checks AS (
   FROM (SELECT *, sum(opens) OVER (ORDER BY win) AS run FROM (
     SELECT *, CASE WHEN coalesce(lag(signal) OVER (ORDER BY win) <> 'warning', TRUE) THEN 1 ELSE 0 END AS opens
     FROM signalled)))"""
+
+
+def rises(delta: float = 0.01, warmup: int = 1000, levels: int = 15) -> str:
+    """CTE rises(model, idx, width, error_rate) over scored(model, idx, label, pred): a recursive walk over the tests of the
+    adaptive window, `c` holds its buckets per level, smallest first. Sums of buckets are differences of prefix sums."""
+    span = f"range(1, {levels + 1})"
+    width = f"CAST(list_sum(list_transform({span}, lambda i: c[i] * (1 << (i - 1)))) AS BIGINT)"
+    # what a level receives, what it merges away when it would hold more than five, and what goes up
+    grown = f"""list_reduce(list_transform({span}, lambda i: [c[i]]), lambda acc, x: list_concat(
+      CAST([greatest(0, (x[1] + acc[1] - 4) // 2)] AS BIGINT[]), list_append(acc[2:], x[1] + acc[1] - 2 * greatest(0, (x[1] + acc[1] - 4) // 2))),
+      CAST([32] AS BIGINT[]))[2:]"""
+    newest = f"""list_transform({span}, lambda i: CAST(coalesce(list_sum(list_transform(range(1, i), lambda q: c[q] * (1 << (q - 1)))), 0) AS BIGINT))"""
+    return f"""
+errors AS (
+  SELECT model, max(idx) - {warmup} + 1 AS n, list_prepend(0, list(CAST(s AS BIGINT) ORDER BY idx)) AS sums FROM (
+    SELECT model, idx, sum(CAST(pred <> label AS INTEGER)) OVER (PARTITION BY model ORDER BY idx) AS s FROM scored WHERE idx >= {warmup}) GROUP BY model),
+walk AS (
+  SELECT model, CAST(0 AS BIGINT) AS t, CAST(list_transform({span}, lambda i: 0) AS BIGINT[]) AS c, FALSE AS hit FROM errors
+  UNION ALL
+  SELECT model, t, c, hit_now FROM (
+    SELECT model, t, c,
+      len(list_filter(borders, lambda m: m >= 5 AND w - m >= 5 AND
+        abs((total - sums[t + 1] + sums[t - m + 1]) / CAST(w - m AS DOUBLE) - (sums[t + 1] - sums[t - m + 1]) / CAST(m AS DOUBLE)) >
+        sqrt(2 * (CAST(1 AS DOUBLE) / (w - m - 4) + CAST(1 AS DOUBLE) / (m - 4)) * (total / CAST(w AS DOUBLE)) * (1 - total / CAST(w AS DOUBLE)) * term)
+        + CAST(2 AS DOUBLE) / 3 * (CAST(1 AS DOUBLE) / (w - m - 4) + CAST(1 AS DOUBLE) / (m - 4)) * term)) > 0 AND (hit OR w > 10) AS hit_now
+    FROM (
+      SELECT *, sums[t + 1] - sums[t - w + 1] AS total, ln(2 * ln(CAST(greatest(w, 2) AS DOUBLE)) / {delta}) AS term,
+        flatten(list_transform({span}, lambda i: list_transform(range(1, c[i] + 1), lambda j: newer[i] + j * (1 << (i - 1))))) AS borders
+      FROM (
+        SELECT *, {width} AS w, {newest} AS newer FROM (
+          SELECT k.model, e.sums, k.hit, CASE WHEN k.hit THEN k.t ELSE k.t + 32 END AS t, CASE WHEN k.hit
+            THEN list_transform({span}, lambda i: k.c[i] - CAST(i = list_max(list_transform({span}, lambda q: CASE WHEN k.c[q] > 0 THEN q ELSE 0 END)) AS BIGINT))
+            ELSE {grown.replace("c[i]", "k.c[i]")} END AS c
+          FROM walk k JOIN errors e USING (model) WHERE k.hit OR k.t + 32 <= e.n))))),
+tests AS (SELECT model, t, max({width}) AS w1, min({width}) AS w2, bool_or(hit) AS hit FROM walk WHERE t > 0 GROUP BY model, t),
+rises AS (
+  SELECT model, {warmup} + t - 1 AS idx, w2 AS width, round((sums[t + 1] - sums[t - w2 + 1]) / CAST(w2 AS DOUBLE), 4) AS error_rate
+  FROM tests JOIN errors USING (model)
+  WHERE hit AND (sums[t + 1] - sums[t - w2 + 1]) / CAST(w2 AS DOUBLE) > (sums[t] - sums[t - w1 + 1]) / CAST(greatest(w1 - 1, 1) AS DOUBLE))"""
