@@ -122,13 +122,29 @@ def enhanced_run(spark, d, **models):
     return enhanced.run(inst, det, EVENT_BLOCK)
 
 
-@query("nb_enhanced")
+FUSED = {"adwin_only": "adwin_only", "either": "or", "both": "and"}
+#: Rounds of the SQL twin: one more than the rebuilds of its most restless model.
+TWIN_ROUNDS = 8
+ENHANCED_SQL = checks_sql(True).rstrip() + "," + sql.enhanced(
+    FUSED, WINDOW_SQL, specs.DEFAULTS["cooldown"], specs.DEFAULTS["min_rebuild"], specs.DEFAULTS["buffer_rows"], TWIN_ROUNDS)
+
+
+def fused_run(spark, d):
+    return enhanced_run(spark, d, **{name: {"model": "enhanced", "fusion": fusion} for name, fusion in FUSED.items()})
+
+
+@query("nb_enhanced", ENHANCED_SQL + "SELECT model, idx, label, pred, lam FROM enhanced")
+def _(spark, d):
+    """The fusion modes side by side, with error feedback."""
+    return fused_run(spark, d).predictions.select("model", "idx", "label", "pred", "lam")
+
+
+@query("nb_enhanced_log", ENHANCED_SQL + """
+SELECT model, idx, detector, kind, CAST(acted AS INTEGER) AS acted, rebuild_size, width, error_rate FROM enhanced_events""")
 def _(spark, d):
-    """The fusion modes side by side, with error feedback (iterative, no SQL twin)."""
-    run = enhanced_run(
-        spark, d, adwin_only={"model": "enhanced", "fusion": "adwin_only"},
-        either={"model": "enhanced", "fusion": "or"}, both={"model": "enhanced", "fusion": "and"})
-    return run.predictions.select("model", "idx", "label", "pred", "lam")
+    """Their signals, what became of them, and the rebuilds."""
+    return fused_run(spark, d).events.select(
+        "model", "idx", "detector", "kind", F.col("acted").cast("int").alias("acted"), "rebuild_size", "width", "error_rate")
 
 
 @query("nb_enhanced_events")

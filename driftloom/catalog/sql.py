@@ -236,3 +236,47 @@ rises AS (
   SELECT model, {warmup} + t - 1 AS idx, w2 AS width, round((sums[t + 1] - sums[t - w2 + 1]) / CAST(w2 AS DOUBLE), 4) AS error_rate
   FROM tests JOIN errors USING (model)
   WHERE hit AND (sums[t + 1] - sums[t - w2 + 1]) / CAST(w2 AS DOUBLE) > (sums[t] - sums[t - w1 + 1]) / CAST(greatest(w1 - 1, 1) AS DOUBLE))"""
+
+
+def enhanced(models: dict[str, str], w: str, cooldown: int, min_rebuild: int, buffer_rows: int, rounds: int) -> str:
+    """CTEs enhanced(model, idx, label, pred, lam) and enhanced_events, for models (name: fusion) that rebuild on both channels.
+
+    Needs rows, words and checks. Each of `rounds` unrolled rounds scores all rows by the rebuilds found so far, walks the
+    error window over them, and adds the first signal behind these rebuilds that passes gate and cooldown.
+    """
+    names = ", ".join(f"('{m}', '{fusion}')" for m, fusion in models.items())
+    parts = [f"""
+fusions AS (SELECT * FROM (VALUES {names}) AS v(model, fusion)),
+acts_0 AS (SELECT model, CAST(-1 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS detector, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS b FROM fusions)"""]
+    for r in range(rounds):
+        parts.append(f"""
+scored_{r} AS MATERIALIZED (
+  WITH segs AS (
+    SELECT model, b, CAST(0 AS DOUBLE) AS lam, CAST(1 AS DOUBLE) AS alpha, idx + 1 AS lo, hi FROM (
+      SELECT *, coalesce(lead(idx) OVER (PARTITION BY model ORDER BY place), (SELECT count(*) FROM rows) - 1) AS hi FROM acts_{r}) WHERE idx < hi),
+  {SCORED.strip()}
+  SELECT model, idx, label, pred, lam FROM scored),
+signals_{r} AS MATERIALIZED (
+  WITH RECURSIVE scored AS (SELECT * FROM scored_{r}),
+  {rises().strip()},
+  raised AS (
+    SELECT model, fusion, 'adwin' AS detector, 2 * idx AS place, idx, 'change' AS kind, width, error_rate, greatest(idx + 1 - least(greatest(width, {min_rebuild}), {buffer_rows}), 0) AS b
+    FROM rises JOIN fusions USING (model) WHERE fusion <> 'vocab_only'
+    UNION ALL SELECT model, fusion, 'vocab', 2 * idx + 1, idx, signal, NULL, NULL, train_from FROM checks, fusions WHERE fusion <> 'adwin_only' AND signal <> 'none')
+  SELECT *, CASE WHEN fusion <> 'and' THEN kind WHEN idx - CASE detector
+      WHEN 'adwin' THEN max(CASE WHEN detector = 'vocab' THEN idx END) OVER p ELSE max(CASE WHEN detector = 'adwin' THEN idx END) OVER p END <= {w} THEN 'change' ELSE 'none' END AS gated
+  FROM raised WINDOW p AS (PARTITION BY model ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+acts_{r + 1} AS MATERIALIZED (
+  SELECT * FROM acts_{r}
+  UNION ALL SELECT s.model, s.place, s.detector, s.idx, s.b FROM signals_{r} s
+  WHERE s.gated = 'change' AND s.place > (SELECT max(a.place) FROM acts_{r} a WHERE a.model = s.model)
+    AND s.idx >= coalesce((SELECT max(a.idx) + {cooldown} FROM acts_{r} a WHERE a.model = s.model AND a.detector = s.detector), 0)
+  QUALIFY row_number() OVER (PARTITION BY s.model ORDER BY s.place) = 1)""")
+    last = rounds - 1
+    parts.append(f"""
+enhanced AS (SELECT model, idx, label, pred, lam FROM scored_{last}),
+enhanced_events AS (
+  SELECT s.model, s.idx, s.detector, s.kind, a.place IS NOT NULL AS acted, CAST(NULL AS BIGINT) AS rebuild_size, s.width, s.error_rate
+  FROM signals_{last} s LEFT JOIN acts_{rounds} a USING (model, place)
+  UNION ALL SELECT model, idx, detector, 'rebuild', NULL, idx - b + 1, NULL, NULL FROM acts_{rounds} WHERE place >= 0)""")
+    return ",".join(parts)
