@@ -328,7 +328,7 @@ SELECT model AS setting, 'k' AS kind, round(avg(accuracy), 6) AS accuracy, round
   CAST(sum(model_false_alarms) AS BIGINT) AS false_alarms, CAST(sum(model_missed) AS BIGINT) AS missed, round(avg(recovery_mean), 6) AS recovery_mean,
   CAST(sum(not_recovered) AS BIGINT) AS not_recovered, count(*) AS runs FROM grid GROUP BY model ORDER BY avg(accuracy) DESC""")
 def _(spark, d, grid):
-    return report.sweep_summary(grid.withColumnRenamed("model", "setting").withColumn("kind", F.lit("k")))
+    return report.sweep_summary(grid.withColumnRenamed("model", "setting").withColumn("kind", F.lit("k")), ["kind"])
 
 
 @grid_query("rpt_best_model", "SELECT stream, arg_max(model, row(accuracy, model)) AS model, round(max(accuracy), 6) AS accuracy FROM grid GROUP BY 1")

@@ -1,5 +1,5 @@
-"""Whole runs: majority, accumulative, fading and informed models (not the enhanced kind) on one stream, on a slice of it, and the
-metrics rows of the grid."""
+"""Whole runs on one stream and on a slice of it: the metrics rows of the grid, first of the majority, accumulative, fading and
+informed models, then of the enhanced kind, the reports on such rows, and a sweep over settings."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from driftloom.catalog import sql
 from driftloom.catalog.base import query
-from driftloom.catalog.model_queries import EVENT_BLOCK, checks_sql, event_instances, events_window
-from driftloom.plans import grid, specs, streams
+from driftloom.catalog.fusion_queries import TWIN_ROUNDS
+from driftloom.catalog.model_queries import EVENT_BLOCK, WINDOW_SQL, checks_sql, event_instances, events_window
+from driftloom.plans import grid, report, specs, streams, sweep
 from driftloom.sources import files
 
 MODELS = {"majority": {"model": "majority"}, "accumulative": {"model": "accumulative"}, "fading": {"model": "fading", "lam": 0.2},
@@ -76,3 +77,76 @@ def _(spark, d):
     table = specs.per_cell(specs.spec_table(spark, {k: MODELS[k] for k in ("accumulative", "fading")}), rows)
     found, _, _ = grid.predictions(rows.drop("at"), table, EVENT_BLOCK)
     return found.join(rows.select("stream", "seed", "idx", "at"), ["stream", "seed", "idx"]).select("model", F.col("at").alias("idx"), "label", "pred")
+
+
+ADAPTIVE = {"adwin_only": "adwin_only", "either": "or"}
+
+
+@query("grid_enhanced", checks_sql(True).rstrip() + "," + sql.enhanced(
+    ADAPTIVE, WINDOW_SQL, specs.DEFAULTS["cooldown"], specs.DEFAULTS["min_rebuild"], specs.DEFAULTS["buffer_rows"], TWIN_ROUNDS) + """,
+size AS (SELECT count(*) AS n FROM rows),
+acted AS (SELECT model, count(*) FILTER (kind = 'rebuild') AS rebuilds FROM enhanced_events GROUP BY model)
+SELECT e.model, 'enhanced' AS kind, CASE e.model WHEN 'either' THEN 'or' ELSE e.model END AS fusion, CAST(0.01 AS DOUBLE) AS adwin_delta,
+  CASE WHEN e.model = 'either' THEN CAST(1.8 AS DOUBLE) END AS detect_alpha, count(*) AS n,
+  round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy, round(avg(CAST(pred = label AS INTEGER)) FILTER (idx < n // 2), 6) AS accuracy_pre_drift,
+  round(avg(CAST(pred = label AS INTEGER)) FILTER (idx >= n // 2), 6) AS accuracy_post_drift, coalesce(max(a.rebuilds), 0) AS rebuilds
+FROM enhanced e LEFT JOIN acted a USING (model), size GROUP BY e.model""")
+def _(spark, d):
+    """Cells of the enhanced kind in a grid run."""
+    inst, drifts = flipped(spark, d)
+    table = specs.spec_table(spark, {m: {"model": "enhanced", "fusion": f} for m, f in ADAPTIVE.items()}, {"w": events_window(spark, d)})
+    out = grid.run(inst, table, drifts, TOLERANCE, RECOVERY, ROWS, EVENT_BLOCK).metrics
+    rates = [F.round(c, 6).alias(c) for c in ("accuracy", "accuracy_pre_drift", "accuracy_post_drift")]
+    return out.select("model", "kind", "fusion", "adwin_delta", "detect_alpha", "n", *rates, "rebuilds")
+
+
+def _swept(alphas) -> str:
+    """swept(setting, alpha, idx, label, pred) of informed models over thresholds of the detector."""
+    parts = []
+    for i, a in enumerate(alphas):
+        parts.append(f"""
+segs_{i} AS MATERIALIZED (
+  WITH RECURSIVE {sql.signals(WINDOW_SQL, alpha=a).strip()}
+  SELECT 'baseline a={a}' AS model, b, CAST(0 AS DOUBLE) AS lam, CAST(1 AS DOUBLE) AS alpha, lo, coalesce(lead(lo) OVER (ORDER BY lo), n) - 1 AS hi
+  FROM (SELECT 0 AS lo, 0 AS b UNION ALL SELECT idx + 1, train_from FROM checks WHERE signal = 'change'), (SELECT count(*) AS n FROM rows) WHERE lo < n)""")
+    union = " UNION ALL ".join(f"SELECT * FROM segs_{i}" for i in range(len(alphas)))
+    return ",".join(parts) + f""",
+segs AS ({union}),""" + sql.SCORED
+
+
+SWEEP_SQL = sql.with_(sql.events_rows(True), sql.seen_words(WINDOW_SQL), sql.precisions(WINDOW_SQL), _swept(report.SWEEP_ALPHAS))
+
+
+def swept(spark, d):
+    inst, drifts = flipped(spark, d)
+    settings = report.sweep_settings(spark).where("model = 'informed'")
+    return sweep.run(inst, settings, drifts, TOLERANCE, RECOVERY, ROWS, {"w": events_window(spark, d)}, EVENT_BLOCK)
+
+
+@query("sweep_rows", SWEEP_SQL + """
+SELECT model AS setting, model, 'informed' AS kind, CAST(NULL AS VARCHAR) AS fusion, CAST(NULL AS DOUBLE) AS adwin_delta, CAST(split_part(model, '=', 2) AS DOUBLE) AS detect_alpha,
+  count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy, count(DISTINCT lo) - 1 AS rebuilds
+FROM scored GROUP BY model""")
+def _(spark, d):
+    """Metrics rows of a sweep over the vocabulary detector's thresholds."""
+    return swept(spark, d).metrics.select(
+        "setting", "model", "kind", "fusion", "adwin_delta", "detect_alpha", "n", F.round("accuracy", 6).alias("accuracy"), "rebuilds")
+
+
+@query("rpt_sweep_run", SWEEP_SQL + """
+SELECT model AS setting, 'informed' AS kind, CAST(NULL AS VARCHAR) AS fusion, CAST(NULL AS DOUBLE) AS adwin_delta, CAST(split_part(model, '=', 2) AS DOUBLE) AS detect_alpha,
+  round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy, 1 AS runs
+FROM scored GROUP BY model""")
+def _(spark, d):
+    """The sweep's summary, read from its own metrics rows."""
+    return report.sweep_summary(swept(spark, d).metrics).select(
+        "setting", *report.SWEEP_FIELDS, F.round("accuracy", 6).alias("accuracy"), "runs")
+
+
+@query("rpt_grid_run", CELLS + """
+SELECT 'events' AS stream, model, 1 AS seeds, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy_mean, CAST(NULL AS DOUBLE) AS throughput_mean,
+  CAST(arg_max(entries, idx) AS DOUBLE) AS model_entries_mean FROM preds GROUP BY model""")
+def _(spark, d):
+    """The grid's summary, read from the metrics rows of a run (cost is not measured here and stays NULL)."""
+    out = report.grid_summary(whole(spark, d).metrics, ["accuracy", "throughput", "model_entries"])
+    return out.select("stream", "model", "seeds", F.round("accuracy_mean", 6).alias("accuracy_mean"), "throughput_mean", "model_entries_mean")

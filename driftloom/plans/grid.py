@@ -24,6 +24,8 @@ CELL = ["stream", "seed", "model"]
 FIXED = ("accumulative", "fading")
 #: Kinds of models without a detector.
 BLIND = ("majority", *FIXED)
+#: Measured cost of a cell.
+COSTS = ("throughput", "batch_ms_p50", "batch_ms_p95")
 PREDICTION = [*CELL, "idx", "label", "pred", "lam", "entries"]
 EVENT = [*CELL, "idx", "detector", "kind", "acted", "rebuild_size"]
 
@@ -85,8 +87,25 @@ def drift_positions(instances: DataFrame, drifts: DataFrame) -> DataFrame:
     return counted.select(*STREAM, *kept)
 
 
+def described(metrics: DataFrame, cells: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Metrics rows with the settings that tell their models apart, and with measured cost.
+
+    A setting that a kind of model does not have is NULL. `costs` has stream, seed, model and COSTS, from the progress of
+    live runs (see `evaluate.cost_summary`); without it, or for cells that it lacks, cost is NULL.
+    """
+    adaptive = F.col("kind") == "enhanced"
+    reads_words = (F.col("kind") == "informed") | (adaptive & (F.col("fusion") != "adwin_only"))
+    settings = cells.select(
+        *CELL, "kind", F.when(adaptive, F.col("fusion")).alias("fusion"), F.when(adaptive & (F.col("fusion") != "vocab_only"), F.col("adwin_delta")).alias("adwin_delta"),
+        F.when(reads_words, F.col("detect_alpha")).alias("detect_alpha"))
+    out = metrics.join(settings, CELL)
+    if costs is None:
+        return out.withColumns({c: F.lit(None).cast("double") for c in COSTS})
+    return out.join(costs.select(*CELL, *COSTS), CELL, "left")
+
+
 def run(instances: DataFrame, specs: DataFrame, drifts: DataFrame, tolerance: int, recovery_window: int, window: int,
-        block_rows: int = BLOCK_ROWS) -> Grid:
+        block_rows: int = BLOCK_ROWS, costs: DataFrame | None = None) -> Grid:
     """All cells of (streams of `instances`) x (rows of `specs`, see `specs.spec_table`), evaluated against `drifts`."""
     rows = positioned(instances, block_rows)
     cells = cut(per_cell(specs, rows), "specs")
@@ -99,4 +118,4 @@ def run(instances: DataFrame, specs: DataFrame, drifts: DataFrame, tolerance: in
     own = rows.select(*STREAM, "idx", "at")
     return Grid(
         predictions=found.join(own, [*STREAM, "idx"]), events=events.join(own, [*STREAM, "idx"]), rates=rates,
-        windows=evaluate.windowed_accuracy(found, CELL, window), metrics=metrics)
+        windows=evaluate.windowed_accuracy(found, CELL, window), metrics=described(metrics, cells, costs))
