@@ -127,6 +127,21 @@ def _(spark, d):
     return _norms(inst, segments).where("lam < 1").select("idx", F.round("norm0", 4).alias("norm0"), F.round("norm1", 4).alias("norm1"))
 
 
+@query("nb_normaliser_rates", sql.with_(sql.events_rows(True)).rstrip() + """,
+seen AS (SELECT w.idx, w.word, r.label, r.t, sum(w.k) OVER (PARTITION BY w.word, r.label ORDER BY w.idx) AS m FROM words w JOIN rows r USING (idx)),
+pairs AS (SELECT DISTINCT word, label FROM seen),
+held AS (
+  SELECT r.idx, p.label, r.t, s.m, s.t AS u FROM (rows r CROSS JOIN pairs p) ASOF JOIN seen s ON s.word = p.word AND s.label = p.label AND s.idx < r.idx)
+SELECT v.lam, r.idx, round(coalesce(sum(CASE WHEN h.label = 0 THEN m * exp(-v.lam * (h.t - u)) END), 0), 4) AS norm0,
+  round(coalesce(sum(CASE WHEN h.label = 1 THEN m * exp(-v.lam * (h.t - u)) END), 0), 4) AS norm1
+FROM rows r CROSS JOIN (VALUES (CAST(0.05 AS DOUBLE)), (CAST(2 AS DOUBLE)), (CAST(40 AS DOUBLE))) AS v(lam) LEFT JOIN held h USING (idx) GROUP BY v.lam, r.idx""")
+def _(spark, d):
+    """Normalisers under three rates, by the definition: the quick ones pass through many frames of the age axis."""
+    inst = event_instances(spark, d, True)
+    found = _norms(inst, fixed_models(spark, inst, ("slow", 0.05, 1.0), ("quick", 2.0, 1.0), ("instant", 40.0, 1.0)))
+    return found.select("lam", "idx", *[F.round(F.greatest(c, F.lit(0.0)), 4).alias(c) for c in ("norm0", "norm1")])
+
+
 # Three rate changes and two rebuilds at fixed shares of the stream.
 CHANGES_SQL = """
 n AS (SELECT count(*) AS n FROM rows),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.catalog import sql
 from driftloom.catalog.base import query
 from driftloom.functions import clock, text
+from driftloom.operators.ranks import quantiles
 from driftloom.plans import streams
 from driftloom.plans.streams import table
 from driftloom.session import checkpoint_root
@@ -156,8 +157,8 @@ def _(spark, d):
 @query("num_percentile", """
 SELECT event_type, round(quantile_cont(value, CAST(0.95 AS DOUBLE)), 6) AS p95, round(median(value), 6) AS p50 FROM events GROUP BY 1""")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.median("value"), 6).alias("p50"))
+    found = quantiles(table(spark, d, "events"), ["event_type"], "value", {"p95": 0.95, "p50": 0.5})
+    return found.select("event_type", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"))
 
 
 @query("src_raw_corpus", """

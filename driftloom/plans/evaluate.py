@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.operators.prefix import BLOCK_ROWS, block_of, blocks_between, running
+from driftloom.operators.ranks import with_quantiles
 from driftloom.session import cut
 
 STREAM = ["stream", "seed"]
@@ -252,7 +253,7 @@ def batch_metrics(batches: DataFrame) -> DataFrame:
 
 def cost_summary(batches: DataFrame, keys: list[str]) -> DataFrame:
     """Processing cost: milliseconds per 1,000 rows, median and p95 batch time, rows per second."""
-    return batches.groupBy(*keys).agg(
-        (1000 * F.sum("ms") / F.sum("n")).alias("ms_per_1k"),
-        F.median("ms").alias("batch_ms_p50"), F.percentile("ms", 0.95).alias("batch_ms_p95"),
-        (1000 * F.sum("n") / F.sum("ms")).alias("throughput"))
+    summary = batches.groupBy(*keys).agg(
+        (1000 * F.sum("ms") / F.sum("n")).alias("ms_per_1k"), (1000 * F.sum("n") / F.sum("ms")).alias("throughput"))
+    return with_quantiles(summary, batches, keys, {"batch_ms_p50": ("ms", 0.5), "batch_ms_p95": ("ms", 0.95)}).select(
+        *keys, "ms_per_1k", "batch_ms_p50", "batch_ms_p95", "throughput")

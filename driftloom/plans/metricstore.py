@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.operators.ranks import with_quantiles
+
 
 def select_points(points: DataFrame, run: str, fields: list[str], start=None, stop=None) -> DataFrame:
     """Points of one run, some fields and a time range [start, stop)."""
@@ -74,13 +76,14 @@ def newest_runs(points: DataFrame, keep: int = 3) -> DataFrame:
 def bench_pipeline(pipeline: DataFrame) -> DataFrame:
     """Throughput over the run's span, latency and batch-time percentiles."""
     span = (F.unix_micros(F.max("time")) - F.unix_micros(F.min("time"))) / F.lit(1e6)
-    return pipeline.groupBy("run").agg(
+    summary = pipeline.groupBy("run").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("batches"), F.avg("n").alias("mean_batch_size"),
         F.when(span > 0, F.sum("n") / span).alias("achieved_throughput"),
-        F.median("latency_ms").alias("latency_median_ms"),
-        F.percentile("latency_p95_ms", 0.95).alias("latency_p95_ms"),
-        F.max("latency_p95_ms").alias("latency_max_ms"),
-        F.median("batch_ms").alias("batch_ms_p50"), F.percentile("batch_ms", 0.95).alias("batch_ms_p95"))
+        F.max("latency_p95_ms").alias("latency_max_ms"))
+    found = with_quantiles(summary, pipeline, ["run"], {
+        "latency_median_ms": ("latency_ms", 0.5), "latency_p95_ms": ("latency_p95_ms", 0.95), "batch_ms_p50": ("batch_ms", 0.5), "batch_ms_p95": ("batch_ms", 0.95)})
+    return found.select(
+        "run", "n", "batches", "mean_batch_size", "achieved_throughput", "latency_median_ms", "latency_p95_ms", "latency_max_ms", "batch_ms_p50", "batch_ms_p95")
 
 
 def bench_models(models: DataFrame, pipeline: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from driftloom.plans import evaluate
@@ -53,3 +54,23 @@ def test_summary_of_a_class_never_predicted(spark):
     rows = spark.createDataFrame([("m", y, 0) for y in (0, 0, 1, 1)], "model string, label int, pred int")
     r = evaluate.classification_summary(rows, ["model"]).first()
     assert (r.accuracy, r.precision_1, r.recall_1, r.f1_1) == (0.5, 0.0, 0.0, 0.0) and abs(r.f1_macro - 1 / 3) < 1e-12
+
+
+def test_percentiles_by_rank(spark):
+    import numpy as np
+
+    from driftloom.operators.ranks import quantiles, with_quantiles
+
+    r = np.random.default_rng(4)
+    groups = {"a": [1.5] * 400 + list(r.normal(size=333)), "b": [7.0], None: [2.0, 4.0], "c": list(map(float, r.integers(0, 5, 50)))}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {x["k"]: x for x in quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        for name, share in shares.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, share), rel=1e-12), (k, name)
+    from pyspark.sql import functions as F
+    out = with_quantiles(df.groupBy("k").agg(F.count("*").alias("n")), df, ["k"], {"mid": ("v", 0.5)}).collect()
+    assert {x["k"]: x["mid"] for x in out}["empty"] is None and len(out) == 5
