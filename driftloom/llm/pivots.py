@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import oracles
@@ -40,11 +40,12 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def able() -> Column:
+    """Whether a row takes part."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where("id is not null and label is not null and v is not null").where((F.size(v) > 0) & ~bad).where(
-        F.exists(v, lambda x: x != 0))
+    there = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
+    return F.coalesce(there & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def spaced(x: np.ndarray, least: float) -> np.ndarray:
@@ -127,8 +128,10 @@ def compare(rows: pa.Table, least: float) -> pa.Table:
 def links(vectors: DataFrame, least: float) -> DataFrame:
     """Adds n_links, component_id and kept to vectors (id, v, label)."""
     key = ["label", "size", "x1", "x2"]
-    keyed = (usable(vectors).withColumn("size", F.size("v")).withColumn("x1", F.xxhash64("v")).withColumn("x2", F.hash("v")))
-    classes = cut(keyed.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
+    keyed = vectors.where(able()).withColumn("size", F.size("v")).withColumn("x1", F.xxhash64("v")).withColumn("x2", F.hash("v"))
+    # classes have numbers of their own: equal vec_ids may be in several
+    classes = cut(keyed.groupBy(*key).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+                  .withColumn("id", F.xxhash64(*key)), "vectors")
     counts = classes.groupBy("size", "label").count().groupBy("size").agg(F.max("count").alias("most")).collect()  # one row for each length
     pivots = {}
     for r in counts:
@@ -146,9 +149,11 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
     found = cut(found, "vector-links")
     total = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of_class = (classes.select(*key, "id", "copies").join(total, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-                .select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    alone = vectors.join(keyed.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    placed = cut(classes.select(*key, "id", "least", "copies").join(total, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+                 .withColumn("component", F.coalesce("component", "id")), "vector-components")
+    first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = placed.join(first, "component").select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    alone = vectors.where(~able()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return keyed.select("id", *key).join(of_class, key).select("id", "n_links", "component_id").union(alone)
 
 

@@ -255,3 +255,17 @@ def test_fingerprints_give_their_parts():
     assert (three - h[:-2] * base * base == two[1:]).all() and ((three - h[2:]) * phrases.inverse(base) == two[:-1]).all()
     for a, b in itertools.product([1, 3, 10**7], [1, 10**4]):
         assert 10**6 * a * a // (b * b) >= 0
+
+
+# ---- vectors of equal ids --------------------------------------------------------------------------------------------
+
+def test_equal_vec_ids_are_different_vectors(spark):
+    """Two orthogonal vectors of one id, two near copies of the first, one of the second, and a null vector of the same id."""
+    from driftloom.llm import pivots
+
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, "a"), (1, two, "a"), (2, [1.0, 0.01, 0.0], "a"), (3, [1.0, 0.0, 0.01], "a"), (4, [0.01, 1.0, 0.0], "a"), (1, None, "a"), (1, one, None), (None, one, "a"), (9, one, "b")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id long, v array<float>, label string").repartition(2)
+        got = Counter(tuple(r) for r in pivots.links(df, 0.93).select("id", "n_links", "component_id").collect())
+        assert got == Counter([(1, 2, 1), (1, 1, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1), (1, 0, 1), (1, 0, 1), (None, 0, None), (9, 0, 9)])
