@@ -415,3 +415,44 @@ def test_near_copies_of_one_document_are_one_group(spark):
         rows.append((i, " ".join(w)))
     found = by_id(minhash.groups(frame(spark, rows), 3, 85), "n_shingles", "component_id")
     assert found == plain.similar_groups(dict(rows), 3, 85)
+
+
+def test_two_texts_of_one_id_link_by_themselves(spark):
+    r = random.Random(4)
+    one, two = ([f"{x}{r.randrange(10**6)}" for _ in range(200)] for x in "pq")
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1:]])
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (8, near(one, 50)), (9, near(two, 90)), (3, near(two, 10)), (12, near(one, 120))]
+    want = [(3, 3), (7, 3), (7, 7), (8, 7), (9, 3), (12, 7)]
+    for order in (rows, rows[::-1]):
+        found = minhash.groups(frame(spark, order), 3, 85).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, found)) == want
+
+
+def test_prefixes_lose_no_pair_of_sets_between_components(spark):
+    r = random.Random(13)
+    rows, base = [], [r.randrange(10**9) for _ in range(100)]
+    for i in range(160):
+        own = set(base[:r.choice((40, 90, 100))]) if i % 4 else {r.randrange(40) for _ in range(r.randint(1, 12))}
+        for x in r.sample(sorted(own), min(len(own), r.randint(0, 16))):
+            own.remove(x)
+            own.add(r.randrange(10**9))
+        rows.append((i, len(own), i % 9 if i % 3 else 0, sorted(own)))
+    df = spark.createDataFrame(rows, "id long, n long, component long, shingles array<long>")
+    for percent in (80, 85):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2]
+                and 100 * len(set(a[3]) & set(b[3])) >= percent * len(set(a[3]) | set(b[3]))}
+        found = minhash.apart(df, percent)
+        assert want and {tuple(x) for x in minhash.verified(found, df, percent).collect()} == want
+    assert minhash.apart(df.limit(0), 85).count() == 0
+
+
+def test_copies_that_are_alike_but_not_enough_give_no_rows(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        own = {k: k for k in range(100)}
+        for k in r.sample(range(100), 14):
+            own[k] = r.randrange(10**9) + 1000
+        rows.append((i, 100, i, sorted(own.values())))
+    df = spark.createDataFrame(rows, "id long, n long, component long, shingles array<long>")
+    assert minhash.apart(df, 85).count() == 0
