@@ -2,10 +2,12 @@
 
 A piece only matters by its length, and there are fewer lengths than the sequence is long. So the plan is made over the
 counts of each length (bounded by the sequence length, whatever the corpus): around the longest length left, the
-undominated fillings of the room beside it are enumerated, best fit first; the first descent is the best-fit incumbent,
-and other fillings are tried while the waste that they imply leaves room for fewer sequences. A filling is used as often
-as the counts allow. The plan is a short list of slots; the pieces get ranks within their length by Spark, in counted
-buckets, and look their slot up. Lower bound and node budget decide when the search ends, not the size of the corpus.
+undominated fillings of the room beside it are enumerated, best fit first. Best fit decreasing is the first incumbent, so
+no plan has more sequences than it; fillings are tried while the waste that they imply leaves room for fewer sequences. A
+filling is used as often as the counts allow. The search ends early: FILLINGS fillings around a piece, NODES steps and the
+last 200 open branches; beyond them the incumbent stands, and a packing with fewer sequences may exist. The plan is a short
+list of slots; the pieces get ranks within their length by Spark, in counted buckets, and look their slot up. Pieces of equal
+length are alike; which of them stands where follows from their row numbers. Very long texts are whole, in as many pieces.
 
 Null text is an empty document (one piece with the end id only). Documents of equal ids keep all their rows; a null
 doc_id is kept as it is. Other columns of the input are not read. An empty table gives no rows.
@@ -130,10 +132,52 @@ def completed(filling: tuple[int, ...], counts: dict[int, int], room: int) -> tu
     return tuple(out)
 
 
+def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing over the counts: fillings with the number of sequences that use each.
+
+    Sequences of equal filling are one group, and equal pieces go into a group together, so the work grows with the
+    number of lengths and fillings and not with the number of pieces.
+    """
+    groups: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def add(filling: tuple[int, ...], times: int) -> None:
+        of_room = groups.setdefault(size - sum(filling), {})
+        of_room[filling] = of_room.get(filling, 0) + times
+
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        # the smallest room that fits is the best fit; what is left of it after one piece stays the best while it fits
+        for room in sorted(r for r in groups if r >= s):
+            for filling, times in sorted(groups[room].items(), reverse=True):
+                each = room // s
+                full, rest = divmod(min(left, times * each), each)
+                used = full + (rest > 0)
+                if not used:
+                    break
+                groups[room][filling] -= used
+                if full:
+                    add(filling + (s,) * each, full)
+                if rest:
+                    add(filling + (s,) * rest, 1)
+                left -= full * each + rest
+            groups[room] = {f: c for f, c in groups[room].items() if c}
+            if not groups[room]:
+                del groups[room]
+            if not left:
+                break
+        full, rest = divmod(left, size // s)
+        if full:
+            add((s,) * (size // s), full)
+        if rest:
+            add((s,) * rest, 1)
+    return [(filling, times) for of_room in groups.values() for filling, times in of_room.items()]
+
+
 def plan(counts: dict[int, int], size: int) -> Plan:
-    """Bin completion over the counts of each length (all below `size`)."""
+    """Bin completion over the counts of each length (all below `size`), from the best-fit packing as first incumbent."""
     bound = lower_bound(counts, size) if counts else 0
-    best: list = [None, 1 << 62]
+    first = best_fit(counts, size)
+    best: list = [first, sum(times for _, times in first)]
     nodes = [NODES]
     total = sum(s * c for s, c in counts.items())
 
@@ -146,7 +190,7 @@ def plan(counts: dict[int, int], size: int) -> Plan:
                     best[0], best[1] = used + trail, sequences
                 return
             # waste that a packing in one sequence less than the incumbent can have
-            if best[0] is not None and (best[1] <= bound or waste > (best[1] - 1) * size - total or nodes[0] <= 0):
+            if best[1] <= bound or waste > (best[1] - 1) * size - total or nodes[0] <= 0:
                 return
             nodes[0] -= 1
             longest = max(left)
@@ -173,7 +217,7 @@ def plan(counts: dict[int, int], size: int) -> Plan:
     while later and best[1] > bound and nodes[0] > 0:
         descend(*later.pop())
         del later[:-200]
-    return Plan(best[0] or [], best[1] if best[0] is not None else 0, bound)
+    return Plan(best[0], best[1], bound)
 
 
 def slots(made: Plan) -> dict[str, np.ndarray]:

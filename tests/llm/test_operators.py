@@ -1,5 +1,6 @@
 """The operators against plain versions, on small inputs with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -240,6 +241,26 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert made.bound <= made.sequences == least(items, 20)
 
 
+def test_no_plan_needs_more_sequences_than_best_fit_decreasing():
+    def plain_best_fit(items, size):
+        rooms, n = [], 0
+        for x in sorted(items, reverse=True):
+            at = bisect.bisect_left(rooms, x)
+            n += at == len(rooms)
+            bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else size) - x)
+        return n
+
+    r = random.Random(1)
+    cases = [[700] * 700 + [r.randint(1, 2047) for _ in range(1400)], [r.randint(1, 2047) for _ in range(2000)], [r.randint(500, 700) for _ in range(2000)]]
+    cases += [[r.randint(1, 300) if r.random() < 0.5 else r.choice((100, 333, 700, 1024, 1500)) for _ in range(r.randint(0, 600))] for _ in range(20)]
+    for items in cases:
+        counts = {s: items.count(s) for s in set(items)}
+        first, made = packing.best_fit(counts, 2048), packing.plan(counts, 2048)
+        for used in (first, made.used):
+            assert sorted(x for f, k in used for x in f * k) == sorted(items) and all(sum(f) <= 2048 for f, _ in used)
+        assert sum(k for _, k in first) == plain_best_fit(items, 2048) >= made.sequences >= made.bound
+
+
 def test_toxicity():
     r = random.Random(1)
     bad, fine = ["vexilor", "vexigan", "trolmek"], [f"ord{i}" for i in range(300)]
