@@ -5,8 +5,7 @@ Two small collections of sketches, each of a few minhashes, are made for every d
 2 * side * ROWS minhashes. Documents that meet in a table are compared on their full sets.
 
 Equal sets are one class with a number of its own before any table is made, so a group of exact copies is one row. In a
-table, members are first compared with the least of their bucket and then with another one, picked by hash for each bucket;
-what is linked counts as one component. What still lies in a bucket with other components goes through an exact prefix
+table, members are first compared with the least of their bucket; what is linked counts as one component. What still lies in a bucket with other components goes through an exact prefix
 filter on its full set (see `apart`): shingles in one order, those first that no second component has, then by rarity; a
 pair at the wanted similarity shares a shingle near the front of both sets, at places that leave room for the overlap. So a
 large group of near copies costs one comparison for each member, pairs that are alike but not enough end at their places
@@ -211,16 +210,7 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # the least of each bucket with all others
     star = cut(members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     joined = grown(cut(verified(star, sets, percent), "verified"), None)
-    # another member of each bucket that is still in more than one component
-    lead = F.min(F.struct(F.xxhash64("key", "id").alias("order"), "id", "component", "n_shingles"))
-    open_keys = placed(joined).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead.alias("lead")).where("x < y")
-    one = open_keys.select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"), F.col("lead.n_shingles").alias("na"))
-    two = placed(joined).select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    second = one.join(two, "key").where(F.col("ca") != F.col("cb")).where(near)
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    joined = grown(cut(verified(cut(second, "pairs"), sets, percent), "verified"), joined)
-    # and what lies in buckets that are still open, by prefixes of the full sets
+    # what lies in buckets that still have more than one component, by prefixes of the full sets
     open_keys = placed(joined).groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     still = cut(placed(joined).join(open_keys.select("key"), "key", "left_semi").select("id", "component").distinct(), "still-apart")
     last = cut(apart(sets.join(still, "id"), percent), "pairs")
