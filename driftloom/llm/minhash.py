@@ -37,6 +37,8 @@ from driftloom.llm.components import components
 ROWS, MISSED = 3, 0.001
 #: Entries of a shingle in one part of the join of prefixes.
 PART = 4096
+#: Shingles before a place that are kept with it.
+BEFORE = 8
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, left array<long>, right array<long>"
 
 
@@ -151,7 +153,10 @@ def apart(rows: DataFrame, percent: int) -> DataFrame:
     share has all of their overlap behind it, so its place in a set of n leaves at least 100 * overlap >= percent * n, and
     in a pair at least percent / (100 + percent) of both sizes. Only pairs with such a place in both are given. Each shingle's
     entries of its largest component meet those of others only, in parts of about PART entries, so the many that are one
-    component already cost nothing.
+    component already cost nothing. A pair needs a row at its first shared shingle only. Each place carries the BEFORE
+    shingles in front of it: one that both have is an earlier place of the same pair, which passes the same tests, so the
+    later place gives no row. The first place never has one, so no pair is lost; a pair has a second row only where
+    BEFORE places without a shared shingle lie between.
     """
     tokens = rows.select("id", "n", "component", F.explode("shingles").alias("token"))
     # a shingle within one component can be in no pair
@@ -159,22 +164,25 @@ def apart(rows: DataFrame, percent: int) -> DataFrame:
               .where("x < y").select("token", "df"))
     own = Window.partitionBy("id")
     placed = (tokens.join(shared, "token").withColumn("m", F.count("*").over(own))
-              .withColumn("at", F.col("n") - F.col("m") + F.row_number().over(own.orderBy("df", "token")) - 1))
-    prefix = cut(placed.where(F.col("at") <= F.col("n") - upper(F.col("n") * percent, 100)).select("token", "id", "n", "component", "at"), "prefixes")
+              .withColumn("at", F.col("n") - F.col("m") + F.row_number().over(own.orderBy("df", "token")) - 1)
+              .withColumn("before", F.collect_list("token").over(own.orderBy("df", "token").rowsBetween(-BEFORE, -1))))
+    prefix = cut(placed.where(F.col("at") <= F.col("n") - upper(F.col("n") * percent, 100))
+                 .select("token", "id", "n", "component", "at", "before"), "prefixes")
     sizes = (prefix.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
              .agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("components")).where("components > 1")
              .select("token", F.col("most.component").alias("main"), upper(F.col("c"), PART).alias("parts")))
     known = prefix.join(sizes, "token")
     one = known.where("component != main").select(
         "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("na"),
-        F.col("component").alias("ca"), F.col("at").alias("ia"))
+        F.col("component").alias("ca"), F.col("at").alias("ia"), F.col("before").alias("ea"))
     two = known.select(
         "token", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"),
-        F.col("at").alias("ib"), (F.col("component") == F.col("main")).alias("largest"))
+        F.col("at").alias("ib"), F.col("before").alias("eb"), (F.col("component") == F.col("main")).alias("largest"))
     overlap = upper((F.col("na") + F.col("nb")) * percent, 100 + percent)
     met = one.join(two, ["token", "part"]).where((F.col("ca") != F.col("cb")) & (F.col("largest") | (F.col("a") < F.col("b"))))
     met = met.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     met = met.where((F.col("na") - F.col("ia") >= overlap) & (F.col("nb") - F.col("ib") >= overlap))
+    met = met.where(~F.arrays_overlap("ea", "eb"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
