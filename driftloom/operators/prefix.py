@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 # Largest exponent used inside one frame of a decayed sum: e^300 is far from overflow, and
-# what lies three frames back (e^-900) is zero in double precision.
+# what lies three frames back has aged by e^-600 at least: nothing beside any smoothing term.
 FRAME_EXPONENT = 300.0
 
 
