@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter
 
-from driftloom.operators import bayes
+from pyspark.sql import functions as F
+
+from driftloom.operators import bayes, prefix
 
 SEGMENTS = [  # model, b, lam, alpha, lo, hi: rate changes, rebuilds, and a whole stream
     ("m", 0, 0.3, 1.0, 0, 99), ("m", 0, 0.9, 1.0, 100, 199), ("m", 120, 0.9, 1.0, 200, 299),
@@ -74,3 +76,20 @@ def test_ageing_forgets_a_class_that_stops(spark, instances_of):
         "stream string, seed int, model string, b long, lam double, alpha double, lo long, hi long")
     got = {r.model: r.pred for r in bayes.predict(instances_of(rows), segments, 64).where("idx = 220").collect()}
     assert got == {"ageing": 0, "accumulative": 1}
+
+
+def test_words_are_dealt_over_as_many_tasks_as_their_number_asks(spark, instances_of, monkeypatch):
+    """Shuffled bytes tell little of the memory of a task, so the number of words sets the number of tasks; the terms of a row
+    are summed where its words lie."""
+    inst = instances_of(corpus())
+    segments = bayes.with_since(spark.createDataFrame(
+        [("s", 0, *s) for s in SEGMENTS], "stream string, seed int, model string, b long, lam double, alpha double, lo long, hi long"))
+    tracks, starts = bayes.prepare(inst, segments)
+    wanted = sorted(map(str, bayes.document_terms(inst, tracks, starts, 16).select("seg", "idx", "known", "new_words", "new_entries").collect()))
+    monkeypatch.setattr(prefix, "TASK_ROWS", 100)
+    terms = bayes.document_terms(inst, tracks, starts, 16)
+    assert sorted(map(str, terms.select("seg", "idx", "known", "new_words", "new_entries").collect())) == wanted
+    lines = bayes.words_read(inst, tracks, 16)
+    assert lines > 4000
+    tasks = terms.groupBy(F.spark_partition_id()).count().count()
+    assert terms.rdd.getNumPartitions() == -(-lines // 100) and tasks > 20
