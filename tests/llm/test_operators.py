@@ -10,7 +10,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from driftloom.llm import decontaminate, lines, minhash, packing, pivots, quality, scoring, substrings, token_files, toxicity
+from pyspark.sql import functions as F
+
+from driftloom.llm import blocks, decontaminate, lines, minhash, packing, pivots, quality, scoring, substrings, token_files, toxicity
 from driftloom.llm import text as tx
 from llm import plain
 
@@ -356,6 +358,20 @@ def zipf_text(r, k, words, prefix):
     return " ".join(f"{prefix}{int(words * r.random() ** 3)}" for _ in range(k))
 
 
+def test_quality_writes_no_copy_of_the_corpus(spark, monkeypatch):
+    """Blocks are built for their n-grams and again to be scored; a block that is not the one that asked ends the run."""
+    names, written = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df, name: names.append(name) or written(df, name))
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, zipf_text(r, 30, 300, "w"), "en") for i in range(240)] + [(None, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    assert quality.judge(docs.repartition(3, "doc_id"), labels).count() == 241
+    assert "perplexities" in names and "ngram-blocks" not in names
+    rows = blocks.documents(docs.coalesce(1), F.lit(False))
+    first, again, other = (blocks.write_blocks(x, sealed=True).select("block").collect() for x in (rows, rows, rows.where("doc_id > 3")))
+    assert first == again and first != other
+
+
 def test_quality_keeps_good_documents_without_labels(spark):
     r = random.Random(8)
     rows = [(i, zipf_text(r, 60, 4000, "w"), "en") for i in range(800)]
