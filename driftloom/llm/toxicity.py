@@ -5,7 +5,7 @@ edges included), so unseen words of a known shape are recognised. Two gated recu
 windows of WINDOW words that overlap by half; attention weighs their states, and the pooled state gives the window's
 logit. A document's score is that of its worst window, over all windows of its whole text.
 
-The network is fitted on the driver to a bounded sample: at most SAMPLE labelled documents of each class with at most
+The network is fitted on the driver, or by the pipeline in one task, to a bounded sample: at most SAMPLE labelled documents of each class with at most
 SAMPLE_CHARS characters, in the order of a hash of the id. Training is multiple-instance: each document is represented by
 the window that scores highest at the time. Scoring has no bound: every window of every text, in Arrow batches, with the
 network (about 1.5 MB, fixed) sent along. Scores depend on the text alone.
@@ -32,6 +32,7 @@ WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 15, 15, 6, 8
 SAMPLE, SAMPLE_CHARS = 900, 20_000
 EPOCHS, BATCH = 6, 96
 THRESHOLD = 0.7
+WEIGHTS = "name string, weights binary"
 
 
 def word_inputs(words: tx.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +95,12 @@ class Network:
             self.w["at_" + side] = np.zeros(3 * HIDDEN, dtype=np.float32)
             self.w["re_" + side] = draw(HIDDEN, 3 * HIDDEN, scale=0.3)
 
+    @classmethod
+    def of(cls, weights: dict[str, bytes]) -> Network:
+        network = cls()
+        network.w = {k: np.frombuffer(weights[k], dtype=np.float32).reshape(v.shape) for k, v in network.w.items()}
+        return network
+
     def features(self, bucket: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Input of each distinct word, and one of zeros for a place without a word."""
         out = np.zeros((len(bucket) + 1, 2 * WIDTH), dtype=np.float32)
@@ -255,8 +262,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     return network
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Network:
-    """Fit to the bounded sample of labelled rows outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """The bounded sample (doc_id, text, toxic) of labelled rows outside the held-out fold."""
     open_rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), folds) != held).distinct()
     chosen = [open_rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE * (1 if y else 2)) for y in (0, 1)]
@@ -265,11 +272,30 @@ def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
     # 3 * SAMPLE ids at most, and one text for each: that with the least hash
     labelled = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
     one = labelled.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
-    rows = one.select("doc_id", "x.text", "toxic").toPandas()
+    return one.select("doc_id", "x.text", "toxic")
+
+
+def fitted(rows: pd.DataFrame) -> Network:
     rows = rows.sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy() == 1)
 
 
+def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Network:
+    """Fit to the bounded sample of labelled rows outside the held-out fold."""
+    return fitted(sample(docs, labels, folds, held).toPandas())
+
+
+def fit_in_task(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Network:
+    """`fit_on` in a task: the driver gets the weights only and keeps none of the memory that fitting takes."""
+    rows = sample(docs, labels, folds, held).groupBy(F.lit(1).alias("all")).applyInPandas(weights_of, WEIGHTS).collect()
+    return Network.of({r["name"]: r["weights"] for r in rows}) if rows else fit([], np.zeros(0, dtype=bool))
+
+
+def weights_of(rows: pd.DataFrame) -> pd.DataFrame:
+    w = fitted(rows).w
+    return pd.DataFrame({"name": list(w), "weights": [v.tobytes() for v in w.values()]})
+
+
 def scorer(network: Network):
     """Column function: text to score."""
 

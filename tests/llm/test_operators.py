@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import os
 import random
 import zlib
 
@@ -329,6 +330,36 @@ def test_toxicity_is_fitted_to_one_text_for_each_labelled_id(spark, monkeypatch)
     assert everything is None and len(seen[-1][0]) == 1
 
 
+def not_here(fit, here=os.getpid()):
+    """`fit`, but not in this process."""
+    def checked(*args):
+        assert os.getpid() != here
+        return fit(*args)
+    return checked
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    docs = frame(spark, [(i, f"{'vile' if i % 2 else 'kind'} words {i}") for i in range(60)], False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    alike = toxicity.fit_in_task(docs, labels.where("toxic = 0"))
+    assert set(toxicity.worst_windows(alike, pa.array(["vile", "kind"]))) == {0.0}
+    assert toxicity.fit_in_task(docs.limit(0), labels).w["out"].any() == False  # noqa: E712
+    here = toxicity.fit_on(docs, labels)
+    monkeypatch.setattr(toxicity, "fit", not_here(toxicity.fit))
+    there = toxicity.fit_in_task(docs, labels)
+    assert here.w.keys() == there.w.keys() and all(np.allclose(here.w[k], there.w[k], atol=1e-4) for k in here.w)
+
+
+def test_pipeline_does_not_fit_on_the_driver(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"{'vile' if i % 2 else 'kind'} words {i}") for i in range(60)], False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "fit", not_here(toxicity.fit))
+    assert 30 <= corpus_pipeline.toxic(spark, docs, str(tmp_path)).count() <= 60
+
+
 def test_quality(spark, docs):
     r = random.Random(4)
     grammar = [["the", "a"], ["red", "old", "small"], ["dog", "tree", "house"], ["sees", "has"], ["the", "a"], ["ball", "road"]]
