@@ -34,7 +34,7 @@ from driftloom.llm.base import query, table
 from driftloom.session import cut_tidily, release
 
 PERCENT = 80
-RARITY_BITS = 18
+RARITY_BITS = 17
 #: A word of so many lines is listed by itself, beside the mean of a bucket; a more frequent one with a second word.
 SELDOM = 64
 #: Lists of so many lines have these compared with so many of their earliest lines before others.
@@ -202,8 +202,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         wanted = where.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("line", "id"))).alias("ids"))
         texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n", -1).alias("lines"))
         rows = texts.join(wanted, texts["d"].eqNullSafe(wanted["d"]) & (texts["t"] == wanted["t"])).select("lines", F.explode("ids").alias("line", "id"))
-        found = rows.select("id", tokens(F.lower(F.get("lines", F.col("line"))), levels).alias("tokens"))
-        return cut_tidily(found.dropDuplicates(["id"]), "line-sets")
+        # the table of rarity stands in short plans only: Spark's driver keeps the text of each plan, at every step of a long one
+        found = cut_tidily(rows.select("id", F.lower(F.get("lines", F.col("line"))).alias("text")).dropDuplicates(["id"]), "line-texts")
+        sets = cut_tidily(found.select("id", tokens(F.col("text"), levels).alias("tokens")), "line-sets")
+        release(found)
+        return sets
 
     late = later_classes(listed, frequent, sets_of)  # releases `listed`
     status = classes.select(*key, "id").join(late.withColumn("late", F.lit(True)), "id", "left").select(*key, F.col("id").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
