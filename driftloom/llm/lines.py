@@ -34,7 +34,7 @@ from driftloom.llm.base import query, table
 from driftloom.session import cut_tidily, release
 
 PERCENT = 80
-RARITY_BITS = 17
+RARITY_BITS = 18
 #: A word of so many lines is listed by itself, beside the mean of a bucket; a more frequent one with a second word.
 SELDOM = 64
 #: Lists of so many lines have these compared with so many of their earliest lines before others.
